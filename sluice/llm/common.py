@@ -101,24 +101,24 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 # -- sets of keys, pairs, components --------------------------------------------------------
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; a set of checked size is broadcast, a larger one shuffles both sides."""
+def with_ids(docs: DataFrame, needed: DataFrame, most: int | None = None) -> DataFrame:
+    """``docs`` joined to the rows of ``needed`` on doc_id (nulls match); broadcast behind a check of the size."""
     most = BROADCAST_ROWS if most is None else most
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    if ids.limit(most + 1).count() <= most:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    right = needed.withColumnRenamed("doc_id", "__id")
+    if needed.limit(most + 1).count() <= most:
+        right = F.broadcast(right)
+    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of binary keys whose full sets satisfy 100 * intersection >= share * union.
+    """Pairs (a, b) of ids whose full sets satisfy 100 * intersection >= share * union.
 
-    ``sets`` has (cls, items): 8-byte values in ascending order.  Both joins are plain equi-joins,
+    ``sets`` has (id, items): 8-byte values in ascending order.  Both joins are plain equi-joins,
     of which Spark splits the skewed partitions.
     """
-    sets = sets.groupBy("cls").agg(F.first("items").alias("items"))
-    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
+    sets = sets.groupBy("id").agg(F.first("items").alias("items"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def verify(batches):
@@ -135,7 +135,7 @@ def similar(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 keep.append(100 * common >= share * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -6,9 +6,11 @@ an XOR, how many samples differ, and reject hopeless candidates without their se
 then confirm every link.
 
 No bucket is expanded into all pairs.  Documents with the same set are one class.  First each class
-of a bucket is checked against the bucket's first class only.  Classes that are then in one component
+of a bucket is checked against the bucket's head only: the class that meets most others over all its
+buckets, which in a group of edited copies is their original.  Classes that are then in one component
 need no further link; in the second round only classes of one bucket that are still in different
-components are compared, as an equi-join whose condition holds the sketches.
+components are compared, as an equi-join whose condition holds the sketches and an exact bound: shingles
+that no other open class has cannot be in an intersection.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from pyspark.sql import functions as F
 
 from sluice.llm import common
 
-BANDS, ROWS, BITS = 32, 4, 512
+#: Bands of samples each; the sketch folds all samples, also those beyond the bands.
+BANDS, ROWS, SAMPLES, BITS = 24, 4, 128, 512
 SIGNATURE = "doc_id long, cls binary, n long, bands array<long>, sketch array<long>"
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240601)
-    n = BANDS * ROWS
+    n = SAMPLES
     return r.integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, np.uint64)
 
 
@@ -45,7 +48,7 @@ def fold(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketches of the rows of samples."""
     k = len(samples)
     with np.errstate(over="ignore"):
-        b = samples.reshape(k, BANDS, ROWS)
+        b = samples[:, : BANDS * ROWS].reshape(k, BANDS, ROWS)
         keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (k, 1))
         for i in range(ROWS):
             keys = common.mix(keys * common._P3 + b[:, :, i])
@@ -84,7 +87,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 def farthest(share: int) -> int:
     """The XOR population count beyond which a pair cannot be at the limit: six deviations of the samples, four of the sketch."""
-    k, j = BANDS * ROWS, share / 100
+    k, j = SAMPLES, share / 100
     most = k * (1 - j) + 6 * math.sqrt(k * j * (1 - j))
     p = (1 - math.exp(-4 * most / BITS)) / 2
     return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
@@ -105,45 +108,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
     Rows that repeat a doc_id all get the same answer if their sets do.  An empty table gives no rows.
     """
     sig = common.materialize(signatures(docs, shingle), "signatures")
-    classes = common.materialize(sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    rows = classes.select(F.explode("bands").alias("key"), "cls")
-    heads = rows.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1").select("key", "head")
-    members = common.materialize(rows.join(heads, "key"), "members")
-    info = classes.select("cls", "n", "sketch")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """(a, b) which neither sizes nor sketches exclude and whose full sets confirm the link."""
-        a = info.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = info.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        pairs = common.materialize(pairs.join(a, "a").join(b, "b").where(_close(share)).select("a", "b"), "pairs")
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        needed = common.materialize(classes.select("cls", F.col("rep").alias("doc_id")).join(needed, "cls", "left_semi"), "needed")
-        sets = full_sets(common.only_ids(common.texts(docs), needed), shingle)
-        return common.materialize(common.similar(pairs, sets, share), "links")
-
-    first = checked(members.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct())
+    grouped = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # the ids stay as written
+    classes = common.materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = classes.select(F.explode("bands").alias("key"), "id")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = common.materialize(rows.join(sizes, "key"), "members")
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    heads = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", F.negate("id").alias("minus"))).alias("best")).select("key", F.negate("best.minus").alias("head"))
+    members = common.materialize(members.select("key", "id").join(heads, "key"), "headed")
+    info = classes.select("id", "n", "sketch")
+
+    def needed(ids: DataFrame) -> DataFrame:
+        return common.materialize(classes.select("id", "cls", "doc_id").join(ids, "id", "left_semi"), "needed")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """(a, b) whose full sets confirm the link."""
+        pairs = common.materialize(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        return common.materialize(common.similar(pairs, full_sets(common.with_ids(common.texts(docs), needed(ids)), shingle), share), "links")
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(x if c == "id" else c if c == "key" else c[0] + x) for c in df.columns])
+
+    pairs = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    first = confirmed(pairs.join(side(info, "a"), "a").join(side(info, "b"), "b").where(_close(share)).select("a", "b"))
     parts = common.materialize(common.components(first), "parts")
 
-    labelled = members.join(parts, members["cls"] == parts["node"], "left").select("key", "cls", "head", F.coalesce("label", "cls").alias("part"))
+    labelled = members.join(parts, members["id"] == parts["node"], "left").select("key", "id", "head", F.coalesce("label", "id").alias("part"))
     mixed = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    # the first class of a bucket has met all others
-    open_ = common.materialize(labelled.where("cls <> head").join(mixed, "key").join(info, "cls"), "open")
-    a = open_.select("key", F.col("cls").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = open_.select("key", F.col("cls").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    second = checked(a.join(b, "key").where("a < b AND pa <> pb").where(_close(share)).select("a", "b").distinct())
+    # the head of a bucket has met all others
+    open_ = common.materialize(labelled.where("id <> head").join(mixed, "key").select("key", "id", "part"), "open")
+    mixed = open_.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    open_ = common.materialize(open_.join(mixed, "key"), "open")
+    sets = full_sets(common.with_ids(common.texts(docs), needed(open_.select("id").distinct())), shingle).dropDuplicates(["id"])
+    own = shared_counts(sets)
+    open_ = open_.join(info.join(own, "id"), "id").select("key", "id", "part", "n", "sketch", "common")
+    both = side(open_, "a").join(side(open_, "b"), "key").where("a < b AND pa <> pb").where(f"100 * least(ca, cb) >= {share} * (na + nb - least(ca, cb))").where(_close(share))
+    second = confirmed(both.select("a", "b").distinct())
 
     labels = common.components(first.union(second))
-    named = classes.select("cls", "rep").join(labels, F.col("cls") == F.col("node")).select("cls", "label", "rep")
-    lowest = named.groupBy("label").agg(F.min("rep").alias("low"))
-    named = named.join(lowest, "label").select("cls", "low")
-    alone = classes.select("cls", "rep").join(named, "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
+    named = classes.select("id", "doc_id").join(labels, F.col("id") == F.col("node")).select("id", "label", "doc_id")
+    lowest = named.groupBy("label").agg(F.min("doc_id").alias("low"))
+    named = named.join(lowest, "label").select("id", "low")
+    alone = classes.select("id", "cls", "doc_id").join(named, "id", "left").select("cls", F.coalesce("low", "doc_id").alias("low"))
     out = sig.select("doc_id", "cls", "n").join(alone, "cls", "left")
     component = F.coalesce("low", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(id, common): how many items of each set some other set has too, at least."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["id", "item"])
+
+    items = sets.select("id", "items").mapInArrow(run, "id long, item long")
+    single = items.groupBy("item").agg(F.count("*").alias("size"), F.min("id").alias("id")).where("size = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = sets.select("id", (F.octet_length("items") / 8).cast("long").alias("all"))
+    return sizes.join(single, "id", "left").select("id", (F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(cls, items) of each text: its whole set of shingle hashes, ascending, as bytes."""
+    """(id, items) of rows (doc_id, text, id, cls): the whole set of shingle hashes, ascending, as bytes, where it is of class cls."""
 
     def run(batches):
         import pyarrow as pa
@@ -151,10 +185,12 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
         words = common.Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                items = [common.shingles(words.hashes(common.words_of(t)), shingle).tobytes() for t in batch.slice(at, 200).column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array(items, pa.binary())], ["cls", "items"])
+                part = batch.slice(at, 200)
+                items = [common.shingles(words.hashes(common.words_of(t)), shingle).tobytes() for t in part.column(2).to_pylist()]
+                keep = [xxhash.xxh3_128_digest(x) == c for x, c in zip(items, part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["id", "items"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cls binary, items binary")
+    return docs.select("id", "cls", "text").mapInArrow(run, "id long, items binary")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
