@@ -26,36 +26,52 @@ from sluice.llm import common
 
 #: Bands of samples each; the sketch folds all samples, also those beyond the bands.
 BANDS, ROWS, SAMPLES, BITS = 24, 4, 128, 512
+#: The larger sketch of the second round.
+MORE_SAMPLES, MORE_BITS = 1024, 4096
 SIGNATURE = "doc_id long, cls binary, n long, bands array<long>, sketch array<long>"
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
+def _constants(n: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240601)
-    n = SAMPLES
     return r.integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, np.uint64)
 
 
 def minhash(items: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 2048):
-        part = items[None, at : at + 2048] * mul[:, None]
+    step = max(64, 2**18 // len(mul))
+    for at in range(0, len(items), step):
+        part = items[None, at : at + step] * mul[:, None]
         part += add[:, None]
         np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
-def fold(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketches of the rows of samples."""
+def band_keys(samples: np.ndarray) -> np.ndarray:
+    """Keys of each row's bands; a key also holds its band's number."""
     k = len(samples)
     with np.errstate(over="ignore"):
         b = samples[:, : BANDS * ROWS].reshape(k, BANDS, ROWS)
         keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (k, 1))
         for i in range(ROWS):
             keys = common.mix(keys * common._P3 + b[:, :, i])
-        spot = common.mix(samples + np.arange(samples.shape[1], dtype=np.uint64) * common._P3) % np.uint64(BITS)
-    spot = spot.astype(np.int64) + np.arange(k)[:, None] * BITS
-    odd = (np.bincount(spot.ravel(), minlength=k * BITS) & 1).astype(np.uint8).reshape(k, BITS)
-    return keys.view(np.int64), np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+    return keys.view(np.int64)
+
+
+def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of how many of a row's samples fall on each bit."""
+    k = len(samples)
+    with np.errstate(over="ignore"):
+        spot = common.mix(samples + np.arange(samples.shape[1], dtype=np.uint64) * common._P3) % np.uint64(bits)
+    spot = spot.astype(np.int64) + np.arange(k)[:, None] * bits
+    odd = (np.bincount(spot.ravel(), minlength=k * bits) & 1).astype(np.uint8).reshape(k, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
+def longs(x: np.ndarray):
+    """Rows of a matrix as an Arrow list."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -78,24 +94,24 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                         samples.append(minhash(s, mul, add))
                 keys, sketch = np.zeros((len(n), BANDS), np.int64), np.zeros((len(n), BITS // 64), np.int64)
                 if rows:
-                    keys[rows], sketch[rows] = fold(np.array(samples))
-                flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), flat(keys), flat(sketch)], ["doc_id", "cls", "n", "bands", "sketch"])
+                    samples = np.array(samples)
+                    keys[rows], sketch[rows] = band_keys(samples), odd_sketch(samples, BITS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), longs(keys), longs(sketch)], ["doc_id", "cls", "n", "bands", "sketch"])
 
     return common.texts(docs).mapInArrow(run, SIGNATURE)
 
 
-def farthest(share: int) -> int:
-    """The XOR population count beyond which a pair cannot be at the limit: six deviations of the samples, four of the sketch."""
-    k, j = SAMPLES, share / 100
-    most = k * (1 - j) + 6 * math.sqrt(k * j * (1 - j))
-    p = (1 - math.exp(-4 * most / BITS)) / 2
-    return math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p)))
+def farthest(share: int, samples: int, bits: int) -> int:
+    """The XOR population count that a pair at the limit passes only beyond six deviations (of samples and sketch together)."""
+    j = share / 100
+    m, v = samples * (1 - j), samples * j * (1 - j)
+    p = (1 - math.exp(-4 * m / bits)) / 2
+    return math.ceil(bits * p + 6 * math.sqrt(4 * math.exp(-8 * m / bits) * v + bits * p * (1 - p)))
 
 
-def _close(share: int):
-    bits = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(BITS // 64))
-    return F.expr(f"100 * least(na, nb) >= {share} * greatest(na, nb) AND {bits} <= {farthest(share)}")
+def _close(share: int, samples: int = SAMPLES, bits: int = BITS):
+    count = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(bits // 64))
+    return F.expr(f"100 * least(na, nb) >= {share} * greatest(na, nb) AND {count} <= {farthest(share, samples, bits)}")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
@@ -141,11 +157,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
     open_ = common.materialize(labelled.where("id <> head").join(mixed, "key").select("key", "id", "part"), "open")
     mixed = open_.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     open_ = common.materialize(open_.join(mixed, "key"), "open")
-    sets = full_sets(common.with_ids(common.texts(docs), needed(open_.select("id").distinct())), shingle).dropDuplicates(["id"])
-    own = shared_counts(sets)
-    open_ = open_.join(info.join(own, "id"), "id").select("key", "id", "part", "n", "sketch", "common")
-    both = side(open_, "a").join(side(open_, "b"), "key").where("a < b AND pa <> pb").where(f"100 * least(ca, cb) >= {share} * (na + nb - least(ca, cb))").where(_close(share))
-    second = confirmed(both.select("a", "b").distinct())
+    sets = common.materialize(full_sets(common.with_ids(common.texts(docs), needed(open_.select("id").distinct())), shingle).dropDuplicates(["id"]), "sets")
+    more = common.materialize(larger_sketches(sets).join(shared_counts(sets), "id").join(classes.select("id", "n", "bands"), "id"), "more")
+    open_ = open_.join(more, "id").select("key", "id", "part", "n", "sketch", "common", F.expr("slice(bands, 1, int(array_position(bands, key)) - 1)").alias("earlier"))
+    both = side(open_, "a").join(side(open_, "b"), "key").where("a < b AND pa <> pb").where(f"100 * least(ca, cb) >= {share} * (na + nb - least(ca, cb))")
+    # each pair once: in its first common bucket
+    both = both.where(_close(share, MORE_SAMPLES, MORE_BITS)).where("NOT arrays_overlap(ea, eb)")
+    second = confirmed(both.select("a", "b"))
 
     labels = common.components(first.union(second))
     named = classes.select("id", "doc_id").join(labels, F.col("id") == F.col("node")).select("id", "label", "doc_id")
@@ -157,6 +175,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def larger_sketches(sets: DataFrame) -> DataFrame:
+    """(id, sketch): an odd sketch of more samples, for fewer sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        mul, add = _constants(MORE_SAMPLES)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                samples = np.array([minhash(np.frombuffer(x, np.uint64), mul, add) for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), longs(odd_sketch(samples, MORE_BITS))], ["id", "sketch"])
+
+    return sets.select("id", "items").mapInArrow(run, "id long, sketch array<long>")
+
+
 def shared_counts(sets: DataFrame) -> DataFrame:
     """(id, common): how many items of each set some other set has too, at least."""
 
