@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sluice.llm import near_dedup
+from sluice.llm import bpe, near_dedup, quality, toxicity
 
-QUERIES = {"op6_near_dedup": near_dedup.op6_near_dedup}
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_quality": quality.op2_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+}
 ORACLES: dict[str, str] = {}
