@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, near_dedup, quality, toxicity
+from sluice.llm import bpe, near_dedup, quality, secrets, sharding, token_store, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_token_store": token_store.op4_token_store,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_sharding": sharding.op7_sharding,
+    "op10_topk": topk.op10_topk,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_topk": topk.OP10_SQL}
