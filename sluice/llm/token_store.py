@@ -156,30 +156,45 @@ class ShardReader:
         return out
 
 
+#: Texts within these code points, which no normal form changes, may be lower-cased at once.
+_OTHER = re.compile("[^\x00-\u024f]|\u0130")
+KNOWN_WORDS = 900_000
+
+
 def word_encoder(path: str, end_id: int, width: int):
-    """A function from texts to raw ids; words are encoded once and remembered, up to a bound.
+    """A function from texts to raw ids; words are encoded once and remembered, up to KNOWN_WORDS.
 
-    The tokenizer's normaliser and pattern drop white space and never join across it, so a text's ids
-    are those of its words between spaces, tabs and line ends.
+    The tokenizer's normaliser and pattern drop white space and never join across it, so a text's ids are those of its
+    words between spaces, tabs and line ends; it lower-cases; and it parts letters from one full stop or comma.
+    What is known stays with the Python process, which serves many tasks.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    import tokenizers
 
-    one = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    kept = tokenizers.__dict__.setdefault("_sluice_words", {})
+    if (path, width) not in kept:
+        kept[path, width] = (tokenizers.Tokenizer.from_file(path), {})
+    one, known = kept[path, width]
     tail = np.array([end_id], f"<u{width}").tobytes()
 
+    def learn(words: list[str]) -> None:
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            for w, e in zip(part, one.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = np.array(e.ids, f"<u{width}").tobytes()
+
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > 400_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, one.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, f"<u{width}").tobytes()
+        plain = [t if _OTHER.search(t) else t.lower() for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
+        new = set().union(*split).difference(known)
+        ended = [w for w in new if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha()]
+        learn(list({w[:-1] for w in ended}.union(new.difference(ended), ".,").difference(known)))
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1]]
         return [b"".join(map(known.__getitem__, ws)) + tail for ws in split]
 
     return encode
