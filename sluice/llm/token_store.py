@@ -169,6 +169,7 @@ def word_encoder(path: str, end_id: int, width: int):
     What is known stays with the Python process, which serves many tasks.
     """
     import os
+    from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
@@ -177,13 +178,14 @@ def word_encoder(path: str, end_id: int, width: int):
     if (path, width) not in kept:
         kept[path, width] = (tokenizers.Tokenizer.from_file(path), {})
     one, known = kept[path, width]
+    kind = {2: "H", 4: "I"}[width]
     tail = np.array([end_id], f"<u{width}").tobytes()
 
     def learn(words: list[str]) -> None:
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
             for w, e in zip(part, one.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, f"<u{width}").tobytes()
+                known[w] = array(kind, e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > KNOWN_WORDS:
@@ -191,7 +193,7 @@ def word_encoder(path: str, end_id: int, width: int):
         plain = [t if _OTHER.search(t) else t.lower() for t in texts]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
         new = set().union(*split).difference(known)
-        ended = [w for w in new if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha()]
+        ended = [w for w in new if w[-1:] in (".", ",") and w[:-1].isalpha() and not _OTHER.search(w)]
         learn(list({w[:-1] for w in ended}.union(new.difference(ended), ".,").difference(known)))
         for w in ended:
             known[w] = known[w[:-1]] + known[w[-1]]
