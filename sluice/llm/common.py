@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -98,6 +99,25 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return np.unique(mix(out))
 
 
+def tree_sum(rows: DataFrame, dtype: str, size: int) -> np.ndarray:
+    """The sum of equally long arrays (a binary column ``table``), first in groups; only the sum comes to the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                x = np.frombuffer(x, dtype)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
+
+    groups = math.isqrt(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    got = rows.repartition(groups).mapInArrow(run, "table binary").coalesce(1).mapInArrow(run, "table binary").collect()
+    return np.frombuffer(got[0].table, dtype).copy() if got else np.zeros(size, dtype)
+
+
 # -- sets of keys, pairs, components --------------------------------------------------------
 
 

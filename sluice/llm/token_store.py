@@ -158,7 +158,7 @@ class ShardReader:
 
 #: Texts within these code points, which no normal form changes, may be lower-cased at once.
 _OTHER = re.compile("[^\x00-\u024f]|\u0130")
-KNOWN_WORDS = 900_000
+KNOWN_WORDS = 1_200_000
 
 
 def word_encoder(path: str, end_id: int, width: int):
