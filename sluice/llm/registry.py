@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, near_dedup, quality, secrets, sharding, token_store, topk, toxicity
+from sluice.llm import bpe, decontaminate, line_dedup, near_dedup, quality, secrets, sharding, token_store, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_topk": topk.op10_topk,
 }
 ORACLES: dict[str, str] = {"op10_topk": topk.OP10_SQL}
