@@ -1,10 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of all documents, as TF-IDF vectors over the terms of the benchmark, are sketched by a distributed
-randomised SVD (one pass: products with a random matrix are summed over tasks, a Nystrom step on the driver gives the
-singular vectors).  Windows of each document and the benchmark items meet in the latent space; windows of high cosine to an item
+randomised SVD.  One pass counts the terms and sums T'(T G) over tasks, for the passages' term counts T and a random G; with D,
+the inverse frequencies, D T'(T G) is A'A of the TF-IDF matrix A = T D applied to D^-1 G, from which a Nystrom step on the driver gives
+the singular vectors.  Windows of each document and the benchmark items meet in the latent space; windows of high cosine to an item
 are candidates.  A candidate counts if the longest common subsequence of its words and the item's covers enough of the item
 (so that changed or inserted words do not hide it), and if most of the item's rarest terms, which carry its answer, occur there.
+A window must pass all three checks; so only items of which a document has enough of the rarest terms at all
+are compared with its windows.
 """
 
 from __future__ import annotations
@@ -17,11 +20,9 @@ from sluice.llm import common
 
 #: Words of a window, and from one window to the next; passages for the statistics stand side by side.
 WINDOW, STRIDE = 36, 12
-RANK, OVER = 48, 16
+RANK, OVER = 40, 8
 COSINE, COVERED, ANSWER = 0.35, 0.7, 0.4
 ANSWER_TERMS = 5
-#: A window that holds so little of an item's total weight cannot hold the item.
-LEAST_MASS = 0.35
 #: Items of one pass over the documents, in bytes of their texts; more items take more passes.
 BLOCK_BYTES = 8 << 20
 _EDGES = b".,!?;:\"'()[]{}"
@@ -65,17 +66,34 @@ def lcs(pattern: list[int], text: list[int]) -> int:
     return len(pattern) - v.bit_count()
 
 
-def _tables(docs: DataFrame, vocabulary: dict[bytes, int], each, size: int) -> np.ndarray:
-    """Sums over all passages of ``each(passage numbers, term numbers, table)``, which adds to a task's table."""
+def statistics(docs: DataFrame, vocabulary: dict[bytes, int], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passages with each term and, last, passages with any; T'(T G)), over all passages of all documents."""
+    width, k = g.shape
+
+    def each(passage, term, total):
+        if not len(term):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        y = np.add.reduceat(g[term], starts, axis=0)
+        sizes = np.diff(np.append(starts, len(term)))
+        order = np.argsort(term.astype(np.uint16) if width < 2**16 else term, kind="stable")
+        t, p = term[order], passage[order]
+        edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        new = np.concatenate([[True], p[1:] != p[:-1]])
+        new[edges] = True
+        total[t[edges]] += np.add.reduceat(new.astype(np.int64), edges)
+        total[width] += len(starts)
+        nth = np.repeat(np.arange(len(starts)), sizes)
+        total[width + 1 :].reshape(width, k)[t[edges]] += np.add.reduceat(y[nth[order]], edges, axis=0)
 
     def run(batches):
         import pyarrow as pa
 
-        known, total = Terms(vocabulary), np.zeros(size)
+        known, total = Terms(vocabulary), np.zeros(width + 1 + width * k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
+            for at in range(0, batch.num_rows, 60):
                 passages, found, before = [], [], 0
-                for text in batch.slice(at, 200).column(0).to_pylist():
+                for text in batch.slice(at, 60).column(0).to_pylist():
                     t = known.numbers(text)
                     hit = np.flatnonzero(t >= 0)
                     passages.append(hit // WINDOW + before)
@@ -84,49 +102,19 @@ def _tables(docs: DataFrame, vocabulary: dict[bytes, int], each, size: int) -> n
                 each(np.concatenate(passages), np.concatenate(found), total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
-    return common.tree_sum(common.texts(docs).select("text").mapInArrow(run, "table binary"), "<f8", size)
-
-
-def inverse_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """log of passages per passage with the term, over all passages of all documents."""
-    width = len(vocabulary)
-
-    def each(passage, term, total):
-        seen = np.unique(passage * width + term)
-        total[:width] += np.bincount(seen % width, minlength=width)
-        total[width] += len(np.unique(passage))
+    got = common.tree_sum(common.texts(docs).select("text").mapInArrow(run, "table binary"), "<f8", width + 1 + width * k)
+    return got[: width + 1], got[width + 1 :].reshape(width, k)
 
-    got = _tables(docs, vocabulary, each, width + 1)
-    return np.log((got[width] + 2) / (got[:width] + 1))
 
-
-def latent_basis(docs: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors of the TF-IDF matrix of all passages and the items: A'(A G) summed over tasks for a random G, then a Nystrom step."""
-    width, k = len(vocabulary), min(RANK + OVER, len(vocabulary))
-    g = np.random.default_rng(5).standard_normal((width, k)).astype(np.float32)
-    weighted = (g * idf[:, None]).astype(np.float32)
-
-    def each(passage, term, total):
-        if not len(term):
-            return
-        starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        y = np.add.reduceat(weighted[term], starts, axis=0)
-        norm = np.add.reduceat((idf[term] ** 2), starts)
-        y /= np.maximum(norm, 1e-9)[:, None]  # rows have unit length: once for each side
-        sizes = np.diff(np.append(starts, len(term)))
-        order = np.argsort(term, kind="stable")
-        t = term[order]
-        edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        sums = np.add.reduceat(np.repeat(y, sizes, axis=0)[order], edges, axis=0)
-        total.reshape(width, k)[t[edges]] += sums * idf[t[edges]][:, None]
-
-    y = _tables(docs, vocabulary, each, width * k).reshape(width, k) + items.T @ (items @ g)
-    shift = 1e-8 * max(1e-12, np.linalg.norm(y))
-    y += shift * g
-    values, vectors = np.linalg.eigh((g.T @ y + y.T @ g) / 2)
+def latent_basis(product: np.ndarray, g: np.ndarray, idf: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of the TF-IDF matrix of all passages and the items, by a Nystrom step."""
+    test = g / idf[:, None]
+    y = product * idf[:, None] + items.T @ (items @ test)
+    y += 1e-8 * max(1e-12, np.linalg.norm(y) / np.linalg.norm(test)) * test
+    core = test.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > 1e-9 * max(values.max(), 1e-12)
-    b = y @ (vectors[:, keep] / np.sqrt(values[keep]))
-    u, _, _ = np.linalg.svd(b, full_matrices=False)
+    u, _, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     return u[:, :RANK].astype(np.float32)
 
 
@@ -155,54 +143,59 @@ def _block_matches(docs: DataFrame, items: list[tuple[int | None, str]]) -> Data
     if not words:
         return spark.createDataFrame([], "doc_id long, item_id long, covered double")
     vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in words for x in ws}))}
-    idf = inverse_frequencies(docs, vocabulary)
+    width = len(vocabulary)
+    g = np.random.default_rng(5).standard_normal((width, min(RANK + OVER, width))).astype(np.float32)
+    counts, product = statistics(docs, vocabulary, g)
+    idf = np.log((counts[width] + 2) / (counts[:width] + 1)) + 1e-3
     numbers = [np.array([vocabulary[x] for x in ws]) for _, ws in words]
     dense = np.zeros((len(words), len(vocabulary)), np.float32)
     for row, x in enumerate(numbers):
         np.add.at(dense[row], x, idf[x])
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    basis = latent_basis(docs, vocabulary, idf, dense)
+    basis = latent_basis(product, g, idf, dense)
     latent = dense @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     answers = [sorted(set(x.tolist()), key=lambda k: (-idf[k], k))[:ANSWER_TERMS] for x in numbers]
-    mass = np.array([idf[np.unique(x)].sum() for x in numbers])
-    least = LEAST_MASS * float(mass.min())
-    held = spark.sparkContext.broadcast((vocabulary, idf.astype(np.float32), (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32), [x.tolist() for x in numbers], answers, mass, [i for i, _ in words]))  # a block of items
+    need = [max(1, int(np.ceil(ANSWER * len(x)))) for x in answers]
+    carried: dict[int, list[int]] = {}
+    for item, x in enumerate(answers):
+        for term in x:
+            carried.setdefault(term, []).append(item)
+    held = spark.sparkContext.broadcast((vocabulary, (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32), [x.tolist() for x in numbers], [set(x) for x in answers], need, carried, [i for i, _ in words]))  # a block of items
 
     def run(batches):
         import pyarrow as pa
 
-        vocabulary, idf, projected, latent, numbers, answers, mass, ids = held.value
+        vocabulary, projected, latent, numbers, answers, need, carried, ids = held.value
         known = Terms(vocabulary)
-        projected, weight = np.vstack([projected, np.zeros((1, projected.shape[1]), np.float32)]), np.append(idf, np.float32(0))
+        telling = np.zeros(len(vocabulary) + 1, bool)  # the last stands for all other terms
+        telling[list(carried)] = True
+        projected = np.vstack([projected, np.zeros((1, projected.shape[1]), np.float32)])
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = known.numbers(text)
-                if not len(t):
-                    continue
-                starts = np.arange(0, max(1, len(t) - WINDOW + STRIDE), STRIDE)
-                ends = np.minimum(starts + WINDOW, len(t))
-                w = np.concatenate([[0], np.cumsum(weight[t], dtype=np.float64)])
-                heavy = w[ends] - w[starts] >= least
-                if not heavy.any():
+                has: dict[int, int] = {}
+                for term in set(t[telling[t]].tolist()):
+                    for item in carried[term]:
+                        has[item] = has.get(item, 0) + 1
+                likely = [item for item, n in has.items() if n >= need[item]]
+                if not likely:
                     continue
-                starts, ends = starts[heavy], ends[heavy]
-                for at in range(0, len(starts), 512):
-                    a, b = starts[at : at + 512], ends[at : at + 512]
-                    place = np.minimum(a[:, None] + np.arange(WINDOW), len(t))
-                    vectors = projected[np.append(t, -1)[place]].sum(axis=1)
-                    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                    near = vectors @ latent.T >= COSINE
-                    near &= (w[b] - w[a])[:, None] >= LEAST_MASS * mass[None, :]
-                    for i, item in zip(*np.nonzero(near)):
-                        m = len(numbers[item])
-                        span = t[max(0, a[i] - m) : b[i] + m].tolist()
-                        if sum(x in span for x in answers[item]) < ANSWER * len(answers[item]):
-                            continue
-                        share = lcs(numbers[item], span) / m
-                        if share >= COVERED:
-                            rows.append((doc_id, int(item), share))
+                # sums of STRIDE words each; a window is a few of them
+                sums = np.add.reduceat(projected[t], np.arange(0, len(t), STRIDE), axis=0)
+                windows = sum(np.vstack([sums[i:], np.zeros((i, sums.shape[1]), np.float32)]) for i in range(min(WINDOW // STRIDE, len(sums))))
+                windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+                near = windows @ latent[likely].T >= COSINE
+                for i, j in zip(*np.nonzero(near)):
+                    item = likely[j]
+                    m = len(numbers[item])
+                    span = t[max(0, i * STRIDE - m) : i * STRIDE + WINDOW + m].tolist()
+                    if len(answers[item].intersection(span)) < need[item]:
+                        continue
+                    share = lcs(numbers[item], span) / m
+                    if share >= COVERED:
+                        rows.append((doc_id, item, share))
             best: dict = {}
             for doc_id, item, share in rows:
                 best[doc_id, item] = max(share, best.get((doc_id, item), 0.0))

@@ -89,7 +89,8 @@ def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words, common_, seen = common.Words(), counts.value, set()
+        words, seen = common.Words(), set()
+        common_ = np.minimum(63, 4 * np.log2(1 + counts.value)).astype(np.uint64)  # in steps of a fourth of a doubling
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
@@ -97,7 +98,9 @@ def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
                 if not places:
                     continue
                 line, t = tokens(words.hashes(got), sizes, shingle)
-                order = np.lexsort((t, common_[(t >> np.uint64(46)).astype(np.int64)], line))
+                often = common_[(t >> np.uint64(46)).astype(np.int64)]
+                # line, then rarity, then the token itself
+                order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | (often << np.uint64(42)) | (t >> np.uint64(22))) if len(places) < 2**16 else np.lexsort((t, often, line))
                 line, t = line[order], t[order]
                 fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (t[1:] != t[:-1])])
                 line, t = line[fresh], t[fresh]
