@@ -21,7 +21,7 @@ from sluice.llm import common
 #: Words of a window, and from one window to the next; passages for the statistics stand side by side.
 WINDOW, STRIDE = 36, 12
 RANK, OVER = 40, 8
-COSINE, COVERED, ANSWER = 0.35, 0.7, 0.4
+COSINE, COVERED, ANSWER = 0.25, 0.7, 0.4
 ANSWER_TERMS = 5
 #: Items of one pass over the documents, in bytes of their texts; more items take more passes.
 BLOCK_BYTES = 8 << 20
