@@ -91,9 +91,9 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
                 tails.append([at + x for x in found if x >= chunk and not part[x - 1].isspace()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*batch.schema.names, "heads", "tails"])
 
-    long_ = rows.where(F.length("text") > chunk).select("doc_id", "text", "row").mapInArrow(cut, "row long, doc_id long, at long, part string, last boolean")
+    long_ = rows.where(F.length("text") > chunk).select("doc_id", "text", "row").mapInArrow(common.tidied(cut), "row long, doc_id long, at long, part string, last boolean")
     spread = long_.repartition(F.xxhash64("row", "at"))
-    spread = spread.mapInArrow(split, "row long, doc_id long, at long, part string, last boolean, heads array<long>, tails array<long>")
+    spread = spread.mapInArrow(common.tidied(split), "row long, doc_id long, at long, part string, last boolean, heads array<long>, tails array<long>")
     w = W.partitionBy("row").orderBy("at")
     nxt = F.array_min(F.array_intersect("tails", F.lead("heads").over(w)))
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
@@ -113,9 +113,9 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([to_ids(t).hex() for t in batch.column(3).to_pylist()])], ["row", "doc_id", "run", "ids"])
 
-    encoded = pieces.select("row", "doc_id", "run", "piece").mapInArrow(by_piece, "row long, doc_id long, run long, ids string")
+    encoded = pieces.select("row", "doc_id", "run", "piece").mapInArrow(common.tidied(by_piece), "row long, doc_id long, run long, ids string")
     joined = encoded.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"]), "")).alias("ids"))
-    short = rows.where(F.length("text") <= chunk).select("doc_id", "text").mapInArrow(whole, "doc_id long, ids binary")
+    short = rows.where(F.length("text") <= chunk).select("doc_id", "text").mapInArrow(common.tidied(whole), "doc_id long, ids binary")
     return short.unionByName(joined.select("doc_id", "ids")).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
@@ -134,7 +134,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column(names.index("ids")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
+    return encoded.mapInArrow(common.tidied(run), ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,31 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def tidy() -> None:
+    """Gives free memory of this Python process back; Spark keeps the process for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run):
+    """``run`` for mapInArrow, with ``tidy`` after a task's last batch."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
 # -- words and shingles ---------------------------------------------------------------------
 
 _MASK = np.uint64
@@ -68,7 +93,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word (bytes) to 64-bit hash; memory is bounded by forgetting all words at ``most``."""
 
-    most = 300_000
+    most = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -114,7 +139,7 @@ def tree_sum(rows: DataFrame, dtype: str, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
     groups = math.isqrt(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
-    got = rows.repartition(groups).mapInArrow(run, "table binary").coalesce(1).mapInArrow(run, "table binary").collect()
+    got = rows.repartition(groups).mapInArrow(tidied(run), "table binary").coalesce(1).mapInArrow(tidied(run), "table binary").collect()
     return np.frombuffer(got[0].table, dtype).copy() if got else np.zeros(size, dtype)
 
 
@@ -155,7 +180,7 @@ def similar(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 keep.append(100 * common >= share * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(verify), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

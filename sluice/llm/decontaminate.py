@@ -40,7 +40,7 @@ class Terms(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         w = raw.strip(_EDGES)
         self[raw] = n = self.vocabulary.get(w, -1) if w else -2
@@ -102,7 +102,7 @@ def statistics(docs: DataFrame, vocabulary: dict[bytes, int], g: np.ndarray) ->
                 each(np.concatenate(passages), np.concatenate(found), total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
-    got = common.tree_sum(common.texts(docs).select("text").mapInArrow(run, "table binary"), "<f8", width + 1 + width * k)
+    got = common.tree_sum(common.texts(docs).select("text").mapInArrow(common.tidied(run), "table binary"), "<f8", width + 1 + width * k)
     return got[: width + 1], got[width + 1 :].reshape(width, k)
 
 
@@ -202,7 +202,7 @@ def _block_matches(docs: DataFrame, items: list[tuple[int | None, str]]) -> Data
             got = [(d, ids[i], s) for (d, i), s in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.float64())], ["doc_id", "item_id", "covered"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, item_id long, covered double")
+    return common.texts(docs).mapInArrow(common.tidied(run), "doc_id long, item_id long, covered double")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
                 total += np.bincount((t >> np.uint64(46)).astype(np.int64), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
-    return common.tree_sum(common.texts(docs).select("text").mapInArrow(run, "table binary"), "<i8", CELLS)
+    return common.tree_sum(common.texts(docs).select("text").mapInArrow(common.tidied(run), "table binary"), "<i8", CELLS)
 
 
 def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
@@ -111,7 +111,7 @@ def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
                     cls.append(c := xxhash.xxh3_128_digest(raw[8 * a : 8 * b]))
                     if c not in seen:
                         new[i] = True
-                        if len(seen) >= 300_000:
+                        if len(seen) >= 150_000:
                             seen.clear()
                         seen.add(c)
                 p = np.where(new & (n > 3), n - (-(-share * n // 100)) + 1, 0)  # smaller sets match equal ones only
@@ -125,7 +125,7 @@ def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
                     ], ["did", "dk", "line", "cls", "n", "prefix"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "did long, dk long, line int, cls binary, n int, prefix array<long>")
+    return _keyed(docs).mapInArrow(common.tidied(run), "did long, dk long, line int, cls binary, n int, prefix array<long>")
 
 
 def line_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
@@ -151,7 +151,7 @@ def line_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                         items.append(common.shingles(words.hashes(own[x["line"]].split()), shingle).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
-    return rows.mapInArrow(run, "id long, items binary")
+    return rows.mapInArrow(common.tidied(run), "id long, items binary")
 
 
 def marked_lines(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:

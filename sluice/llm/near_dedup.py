@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     keys[rows], sketch[rows] = band_keys(samples), odd_sketch(samples, BITS)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), longs(keys), longs(sketch)], ["doc_id", "cls", "n", "bands", "sketch"])
 
-    return common.texts(docs).mapInArrow(run, SIGNATURE)
+    return common.texts(docs).mapInArrow(common.tidied(run), SIGNATURE)
 
 
 def farthest(share: int, samples: int, bits: int) -> int:
@@ -188,7 +188,7 @@ def larger_sketches(sets: DataFrame) -> DataFrame:
                 samples = np.array([minhash(np.frombuffer(x, np.uint64), mul, add) for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), longs(odd_sketch(samples, MORE_BITS))], ["id", "sketch"])
 
-    return sets.select("id", "items").mapInArrow(run, "id long, sketch array<long>")
+    return sets.select("id", "items").mapInArrow(common.tidied(run), "id long, sketch array<long>")
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def shared_counts(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["id", "item"])
 
-    items = sets.select("id", "items").mapInArrow(run, "id long, item long")
+    items = sets.select("id", "items").mapInArrow(common.tidied(run), "id long, item long")
     single = items.groupBy("item").agg(F.count("*").alias("size"), F.min("id").alias("id")).where("size = 1").groupBy("id").agg(F.count("*").alias("own"))
     sizes = sets.select("id", (F.octet_length("items") / 8).cast("long").alias("all"))
     return sizes.join(single, "id", "left").select("id", (F.col("all") - F.coalesce("own", F.lit(0))).alias("common"))
@@ -224,7 +224,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 keep = [xxhash.xxh3_128_digest(x) == c for x, c in zip(items, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["id", "items"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("id", "cls", "text").mapInArrow(run, "id long, items binary")
+    return docs.select("id", "cls", "text").mapInArrow(common.tidied(run), "id long, items binary")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

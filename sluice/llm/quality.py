@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
             got = [measures(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([m.astype(np.float32).tobytes() for m, _ in got], pa.binary()), pa.array([s.astype(np.float32).tobytes() for _, s in got], pa.binary())], ["y", "m", "s"])
 
-    got = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "__y").mapInArrow(run, "y int, m binary, s binary").toArrow()
+    got = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "__y").mapInArrow(common.tidied(run), "y int, m binary, s binary").toArrow()
     y = np.array(got["y"].to_pylist(), float)
     if not len(y) or y.min() == y.max():
         width = 1 + 4 * OWN

@@ -234,7 +234,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1, max_id: int = 49407, fold
             n, ids = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["part", "path", "n_docs", "n_ids"])
 
-    shards = common.materialize(rows.mapInArrow(run, "part int, path string, n_docs long, n_ids long"), "manifest")
+    shards = common.materialize(rows.mapInArrow(common.tidied(run), "part int, path string, n_docs long, n_ids long"), "manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
     return common.materialize(shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
 
@@ -265,7 +265,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = manifest.select("path", "start").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(common.tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_store(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.llm import common
+
 #: Vectors of a shard block and of a query block; one tile has at most their product of scores.
 SHARD_BLOCK, QUERY_BLOCK = 4096, 512
 #: Query blocks of at most so many bytes go to every executor; beyond it Spark pairs the blocks' partitions.
@@ -55,7 +57,7 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         for dim, parts in open_.items():
             yield block(dim, parts)
 
-    return vectors.select("vec_id", "v").mapInArrow(pack, "dim int, ids binary, mat binary, peak long")
+    return vectors.select("vec_id", "v").mapInArrow(common.tidied(pack), "dim int, ids binary, mat binary, peak long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -99,7 +101,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 row, at = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
                 yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[at]), pa.array(score[row, at])], ["query_id", "vec_id", "score"])
 
-    found = tiles.select("dim", "ids", "mat", "peak", "qids", "qmat", "qpeak").mapInArrow(select, "query_id long, vec_id long, score long")
+    found = tiles.select("dim", "ids", "mat", "peak", "qids", "qmat", "qpeak").mapInArrow(common.tidied(select), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # Spark limits each partition to the best k of a query before it shuffles, then merges
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

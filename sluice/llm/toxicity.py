@@ -41,7 +41,7 @@ def features(text: str, cache: dict[bytes, tuple[int, ...]]) -> np.ndarray:
             word = raw.strip(_STRIP)
             s = word.decode("utf-8", "replace")
             h = tuple(x >> 1 for x in [xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest(s[:k].encode(), seed=k) for k in PREFIXES if len(s) > k)]) if word else ()
-            if len(cache) >= 200_000:
+            if len(cache) >= 80_000:
                 cache.clear()
             cache[raw] = h
         got.update(h)
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, swaps: dict[str, str] | None = Non
                 b.append(np.concatenate([np.setdiff1d(z, x), ~np.setdiff1d(x, z)]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["y", "x", "change"])
 
-    got = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "__y").mapInArrow(run, "y int, x binary, change binary").toArrow()
+    got = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "__y").mapInArrow(common.tidied(run), "y int, x binary, change binary").toArrow()
     y = np.array(got["y"].to_pylist(), float)
     rows = [np.frombuffer(x, np.int64) for x in got["x"].to_pylist()]
     changes = [np.frombuffer(x, np.int64) for x in got["change"].to_pylist()]
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                     got = cache.get(raw)
                     if got is None:
                         got = tuple((h, table[h]) for h in features(raw.decode("utf-8", "surrogatepass"), hashes).tolist() if h in table)
-                        if len(cache) >= 300_000:
+                        if len(cache) >= 100_000:
                             cache.clear()
                         cache[raw] = got
                     for h, w in got:
@@ -161,6 +161,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                             s += w
                 out.append(1 / (1 + np.exp(-max(-40.0, min(40.0, s)))))
             yield pd.Series(out, dtype="float64")
+        cache.clear()
+        hashes.clear()
+        common.tidy()
 
     return docs.withColumn("__toxicity", F.pandas_udf(scored, "double")(F.col("text").cast("string")))
 
