@@ -45,7 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    out = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -43,11 +43,12 @@ def boundaries(part: str, low: int, high: int, pattern: str, last: bool) -> list
     return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row's whole text; ids are little-endian unsigned 32-bit integers.
 
     A null or empty text gives no ids.  Rows that repeat a doc_id, or have none, each give a row.  The file at
     ``path`` must be readable on each executor.  An empty table gives no rows.
+    ``decoded`` adds what ``decode`` gives, without a second Python process for each task.
     """
     rows = common.texts(docs).withColumn("row", F.monotonically_increasing_id())
 
@@ -61,11 +62,13 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     def whole(batches):
         import pyarrow as pa
 
-        to_ids = encoder()
+        to_ids, to_bytes = encoder(), decoder(path) if decoded else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_ids(t) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = [to_ids(t) for t in part.column(1).to_pylist()]
+                more = [pa.array(map(to_bytes, ids), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *more], ["doc_id", "ids", "decoded"][: 2 + len(more)])
 
     def cut(batches):
         import pyarrow as pa
@@ -115,8 +118,18 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     encoded = pieces.select("row", "doc_id", "run", "piece").mapInArrow(common.tidied(by_piece), "row long, doc_id long, run long, ids string")
     joined = encoded.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"]), "")).alias("ids"))
-    short = rows.where(F.length("text") <= chunk).select("doc_id", "text").mapInArrow(common.tidied(whole), "doc_id long, ids binary")
-    return short.unionByName(joined.select("doc_id", "ids")).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    short = rows.where(F.length("text") <= chunk).select("doc_id", "text").mapInArrow(common.tidied(whole), "doc_id long, ids binary" + ", decoded binary" * decoded)
+    joined = joined.select("doc_id", "ids")
+    out = short.unionByName(decode(joined, path) if decoded else joined)
+    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
+def decoder(path: str):
+    """A function from raw ids to the concatenated bytes of their tokens."""
+    import numpy as np
+
+    table = {b: a for a, b in ranks_of(path).items()}
+    return lambda ids: b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -124,14 +137,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = encoded.columns
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        table = {b: a for a, b in ranks_of(path).items()}
+        to_bytes = decoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column(names.index("ids")).to_pylist()]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = list(map(to_bytes, part.column(names.index("ids")).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(common.tidied(run), ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
@@ -141,5 +153,5 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    out = encode(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -38,8 +38,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch: texts may be long, and both the JVM and the Python process hold a batch whole.
+BATCH_ROWS = 2000
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of each row; a null text is an empty one."""
+    """(doc_id, text) of each row; a null text is an empty one.  Lowers Spark's default number of rows in an Arrow batch; another number stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
