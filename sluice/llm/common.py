@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,24 +97,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _MASK(31))
 
 
-class Words(dict):
-    """Word (bytes) to 64-bit hash; memory is bounded by forgetting all words at ``most``."""
+#: Words are hashed by the polynomial of random byte values, in blocks of about so many bytes.
+BLOCK = 1 << 17
+_BASE = 0xD6E8FEB86659FD93
+_BYTES = np.random.default_rng(9176).integers(0, 2**64, 256, np.uint64)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    most = 120_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; only the table of the usual size is kept."""
+    if size <= 2 * BLOCK and (held := _powers.get(0)) is not None:
+        return held
+    n = max(size, 2 * BLOCK)
+    made = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    if n == 2 * BLOCK:
+        _powers[0] = made
+    return made
+
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes other than ASCII white space) and where each begins; case counts.
+
+    Memory is bounded by blocks, which end at white space; only a longer word makes a longer block.
+    """
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + BLOCK)
+        end = cut.start() if cut else len(data)
+        a = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.zeros(len(a) + 2, np.int8)
+        inside[1:-1] = (a != 32) & ((a - np.uint8(9)) > 4)
+        step = np.diff(inside)
+        begin, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        power, inverse = _power_table(len(a))
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_BYTES[a] * power[: len(a)], out=sums[1:])
+        hashes.append(mix((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64) * _P3))
+        places.append(begin + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def hashed_words(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words, in order."""
+    if not texts:
+        return []
+    h, at = word_hashes(b"\n".join(texts))
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    return np.split(h, np.searchsorted(at, begin[1:]))
+
+
+def lowered(text: str) -> bytes:
+    """UTF-8, with A-Z as a-z."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 def words_of(text: str) -> list[bytes]:
     """Words are runs of bytes other than ASCII white space; A-Z count as a-z."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    return lowered(text).split()
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -128,7 +169,8 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         for i in range(w):
             out = (out + h[i : n - w + 1 + i]) * _P3
             out ^= out >> _MASK(29)
-        return np.unique(mix(out))
+        out = np.sort(mix(out))
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def tree_sum(rows: DataFrame, dtype: str, size: int) -> np.ndarray:

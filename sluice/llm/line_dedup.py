@@ -25,16 +25,17 @@ CELLS = 1 << 18
 NO_ID = -(2**63)
 
 
-def words_of_lines(texts: list[str]) -> tuple[list[bytes], np.ndarray, list[tuple[int, int]]]:
-    """The words of all lines that are not blank, how many each line has, and (text, place) of each."""
-    words, sizes, places = [], [], []
-    for i, text in enumerate(texts):
-        for j, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            if own := line.split():
-                words += own
-                sizes.append(len(own))
-                places.append((i, j))
-    return words, np.array(sizes, np.int64), places
+def words_of_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of all lines that are not blank, how many words each line has, its text's number and its place."""
+    raw = [common.lowered(t) for t in texts]
+    joined = b"\n".join(raw)
+    h, at = common.word_hashes(joined)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), at)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+    line, sizes = line[first], np.diff(np.append(first, len(h)))
+    begin = np.cumsum([0] + [t.count(b"\n") + 1 for t in raw[:-1]])
+    text = np.searchsorted(begin, line, "right") - 1
+    return h, sizes, text, line - begin[text]
 
 
 def tokens(h: np.ndarray, sizes: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +72,11 @@ def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
-        words, total = common.Words(), np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                got, sizes, _ = words_of_lines(batch.slice(at, 100).column(0).to_pylist())
-                _, t = tokens(words.hashes(got), sizes, shingle)
+                h, sizes, _, _ = words_of_lines(batch.slice(at, 100).column(0).to_pylist())
+                _, t = tokens(h, sizes, shingle)
                 total += np.bincount((t >> np.uint64(46)).astype(np.int64), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
@@ -89,15 +90,15 @@ def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words, seen = common.Words(), set()
+        seen: set[bytes] = set()
         common_ = np.minimum(63, 4 * np.log2(1 + counts.value)).astype(np.uint64)  # in steps of a fourth of a doubling
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                got, sizes, places = words_of_lines(part.column(2).to_pylist())
-                if not places:
+                h, sizes, doc, places = words_of_lines(part.column(2).to_pylist())
+                if not len(places):
                     continue
-                line, t = tokens(words.hashes(got), sizes, shingle)
+                line, t = tokens(h, sizes, shingle)
                 often = common_[(t >> np.uint64(46)).astype(np.int64)]
                 # line, then rarity, then the token itself
                 order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | (often << np.uint64(42)) | (t >> np.uint64(22))) if len(places) < 2**16 else np.lexsort((t, often, line))
@@ -117,10 +118,9 @@ def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
                 p = np.where(new & (n > 3), n - (-(-share * n // 100)) + 1, 0)  # smaller sets match equal ones only
                 place = np.arange(len(t)) - np.repeat(ends - n, n)
                 held = t[place < p[line]].view(np.int64)
-                doc = np.array([i for i, _ in places])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array([j for _, j in places], pa.int32()), pa.array(cls, pa.binary()), pa.array(n, pa.int32()),
+                        part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(places.astype(np.int32)), pa.array(cls, pa.binary()), pa.array(n, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(held)),
                     ], ["did", "dk", "line", "cls", "n", "prefix"],
                 )
@@ -140,15 +140,15 @@ def line_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words = common.Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
-                part, ids, items = batch.slice(at, 50), [], []
+                part, ids, held = batch.slice(at, 50), [], []
                 for text, lines in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
+                    own = common.lowered(text).split(b"\n")
                     for x in lines:
                         ids.append(x["id"])
-                        items.append(common.shingles(words.hashes(own[x["line"]].split()), shingle).tobytes())
+                        held.append(own[x["line"]])
+                items = [common.shingles(h, shingle).tobytes() for h in common.hashed_words(held)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
     return rows.mapInArrow(common.tidied(run), "id long, items binary")

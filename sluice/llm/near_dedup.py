@@ -80,13 +80,13 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words, (mul, add) = common.Words(), _constants()
+        mul, add = _constants()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 cls, n, rows, samples = [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    s = common.shingles(words.hashes(common.words_of(text)), shingle)
+                for i, h in enumerate(common.hashed_words([common.lowered(t) for t in part.column(1).to_pylist()])):
+                    s = common.shingles(h, shingle)
                     n.append(len(s))
                     cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                     if len(s):
@@ -216,11 +216,10 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        words = common.Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                items = [common.shingles(words.hashes(common.words_of(t)), shingle).tobytes() for t in part.column(2).to_pylist()]
+                items = [common.shingles(h, shingle).tobytes() for h in common.hashed_words([common.lowered(t) for t in part.column(2).to_pylist()])]
                 keep = [xxhash.xxh3_128_digest(x) == c for x, c in zip(items, part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["id", "items"]).filter(pa.array(keep, pa.bool_()))
 
