@@ -9,8 +9,8 @@ No bucket is expanded into all pairs.  Documents with the same set are one class
 of a bucket is checked against the bucket's head only: the class that meets most others over all its
 buckets, which in a group of edited copies is their original.  Classes that are then in one component
 need no further link; in the second round only classes of one bucket that are still in different
-components are compared, as an equi-join whose condition holds the sketches and an exact bound: shingles
-that no other open class has cannot be in an intersection.
+components are compared, block by block, by the sketches and an exact bound: shingles that no other open class
+has cannot be in an intersection.  Only pairs that pass become rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from sluice.llm import common
 BANDS, ROWS, SAMPLES, BITS = 24, 4, 128, 512
 #: The larger sketch of the second round.
 MORE_SAMPLES, MORE_BITS = 1024, 4096
+#: Rows of a block of a bucket, and pairs that are compared at once.
+BLOCK_ROWS, PAIRS = 512, 1 << 15
 SIGNATURE = "doc_id long, cls binary, n long, bands array<long>, sketch array<long>"
 
 
@@ -155,15 +157,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
     mixed = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     # the head of a bucket has met all others
     open_ = common.materialize(labelled.where("id <> head").join(mixed, "key").select("key", "id", "part"), "open")
-    mixed = open_.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    mixed = open_.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
     open_ = common.materialize(open_.join(mixed, "key"), "open")
     sets = common.materialize(full_sets(common.with_ids(common.texts(docs), needed(open_.select("id").distinct())), shingle).dropDuplicates(["id"]), "sets")
     more = common.materialize(larger_sketches(sets).join(shared_counts(sets), "id").join(classes.select("id", "n", "bands"), "id"), "more")
-    open_ = open_.join(more, "id").select("key", "id", "part", "n", "sketch", "common", F.expr("slice(bands, 1, int(array_position(bands, key)) - 1)").alias("earlier"))
-    both = side(open_, "a").join(side(open_, "b"), "key").where("a < b AND pa <> pb").where(f"100 * least(ca, cb) >= {share} * (na + nb - least(ca, cb))")
-    # each pair once: in its first common bucket
-    both = both.where(_close(share, MORE_SAMPLES, MORE_BITS)).where("NOT arrays_overlap(ea, eb)")
-    second = confirmed(both.select("a", "b"))
+    second = confirmed(compared(in_blocks(open_), more, share))
 
     labels = common.components(first.union(second))
     named = classes.select("id", "doc_id").join(labels, F.col("id") == F.col("node")).select("id", "label", "doc_id")
@@ -175,6 +173,78 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (key, size, id, part) of buckets, dealt to pairs (i, j) of blocks of about BLOCK_ROWS each; ``own`` is a row's block.
+
+    A row goes to as many pairs as its bucket has blocks, so that no group (key, i, j) exceeds about two blocks.
+    """
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("own", F.expr("pmod(xxhash64(id), blocks)"))
+    dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "part")
+
+
+def compared(dealt: DataFrame, more: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different parts, that sizes, shared items and larger sketches allow; each once, in its first common bucket.
+
+    ``dealt`` is from ``in_blocks``, ``more`` has (id, sketch, common, n, bands).  Only pairs that pass become rows.
+    """
+    most, names = farthest(share, MORE_SAMPLES, MORE_BITS), ["key", "i", "j", "own", "id", "part", "n", "common"]
+
+    def passing(c: dict[str, np.ndarray]):
+        """The (a, b) of whole groups."""
+        rows = len(c["id"])
+        group = np.flatnonzero(np.concatenate([[True], (np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)]))
+        last = np.repeat(np.append(group[1:], rows), np.diff(np.append(group, rows)))
+        block = np.union1d(group, np.flatnonzero(np.diff(c["own"])) + 1)
+        after = np.repeat(np.append(block[1:], rows), np.diff(np.append(block, rows)))
+        # within one block the later rows, else the rows of the other block
+        start = np.where(c["i"] == c["j"], np.arange(1, rows + 1), after)
+        ends, at = np.cumsum(last - start), 0
+        place = (c["bands"] == c["key"][:, None]).argmax(axis=1)
+        while at < rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            many = (last - start)[at:to]
+            u = np.repeat(np.arange(at, to), many)
+            v = np.arange(len(u)) - np.repeat(np.cumsum(many) - many, many) + start[u]
+            at = to
+            low = np.minimum(c["common"][u], c["common"][v])
+            ok = (c["part"][u] != c["part"][v]) & (100 * low >= share * (c["n"][u] + c["n"][v] - low))
+            ok &= 100 * np.minimum(c["n"][u], c["n"][v]) >= share * np.maximum(c["n"][u], c["n"][v])
+            u, v = u[ok], v[ok]
+            ok = (c["bands"][u] == c["bands"][v]).argmax(axis=1) == place[u]
+            u, v = u[ok], v[ok]
+            ok = np.bitwise_count((c["sketch"][u] ^ c["sketch"][v]).view(np.uint64)).sum(axis=1) <= most
+            yield c["id"][u[ok]], c["id"][v[ok]]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(c):
+            for a, b in passing(c):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {x: batch.column(x).to_numpy() for x in names}
+            c |= {x: batch.column(x).flatten().to_numpy().reshape(batch.num_rows, -1) for x in ("bands", "sketch")}
+            if held:
+                c = {x: np.concatenate([held[x], c[x]]) for x in c}
+            # a batch may end within a group
+            whole = np.flatnonzero((c["key"] != c["key"][-1]) | (c["i"] != c["i"][-1]) | (c["j"] != c["j"][-1]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield from out({x: y[:cut] for x, y in c.items()})
+            held = {x: y[cut:] for x, y in c.items()}
+        if held:
+            yield from out(held)
+
+    rows = dealt.join(more, "id").select(*names, "bands", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    return rows.mapInArrow(common.tidied(run), "a long, b long")
+
+
 def larger_sketches(sets: DataFrame) -> DataFrame:
     """(id, sketch): an odd sketch of more samples, for fewer sets."""
 
