@@ -83,6 +83,40 @@ def test_second_round_finds_links_between_parts(spark):
     assert {x.component_id for x in near_dedup.near_duplicates(frame(spark, rows), 3, 85).collect()} == {0}
 
 
+def test_blocks_compare_every_pair_once(spark, monkeypatch):
+    """Small blocks and chunks against all pairs; sketches have negative longs too, and Arrow batches end within groups."""
+    share, r, words = 85, random.Random(3), near_dedup.MORE_BITS // 64
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "PAIRS", 7)
+    most = near_dedup.farthest(share, near_dedup.MORE_SAMPLES, near_dedup.MORE_BITS)
+    base = [r.getrandbits(64) for _ in range(words)]
+    rows, members = [], []
+    for i in range(60):
+        sketch = list(base)
+        for bit in r.sample(range(words * 64), r.choice((0, most // 2, most // 2 + 60))):
+            sketch[bit // 64] ^= 1 << (bit % 64)
+        bands = [b * 10 + (0 if b % 3 else r.randrange(4)) for b in range(near_dedup.BANDS)]
+        rows.append((i, [x - (1 << 64) if x >> 63 else x for x in sketch], r.choice((100, 95, 70)), 100, bands))
+        members += [(bands[b], i, i % 5) for b in (0, 1, 2, 3, 5)]
+    sizes = {k: sum(m[0] == k for m in members) for k, _, _ in members}
+    more = spark.createDataFrame(rows, "id long, sketch array<long>, common long, n long, bands array<long>")
+    open_ = spark.createDataFrame([(k, sizes[k], i, p) for k, i, p in members], "key long, size long, id long, part long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = [tuple(sorted(x)) for x in near_dedup.compared(near_dedup.in_blocks(open_), more, share).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {(k, i) for k, i, _ in members}
+    want = []
+    for a, x, ca, na, ba in rows:
+        for b, y, cb, nb, bb in rows[a + 1 :]:
+            first = next((k for k, m in zip(ba, bb) if k == m), None)
+            low, apart = min(ca, cb), sum(((u ^ v) & (2**64 - 1)).bit_count() for u, v in zip(x, y))
+            if a % 5 != b % 5 and (first, a) in held and (first, b) in held and 100 * low >= share * (na + nb - low) and apart <= most:
+                want.append((a, b))
+    assert 50 < len(want) < 1000 and sorted(got) == want
+
+
 def brute_lines(rows, share=80):
     earlier, out = [], {}
     for d, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
