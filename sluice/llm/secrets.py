@@ -1,7 +1,8 @@
 """Secrets by fixed patterns and by a battery of randomness tests.  Everything is a DataFrame operation.
 
 The patterns give the base spans.  Other long runs of key-like characters are candidates.  A candidate's encoding is
-inferred from its characters.  It must look random under that encoding: a chi-squared test of the alphabet's uniformity, a
+inferred from its characters, as the tightest alphabet that holds them.  It must look random under that encoding: a chi-squared
+test of the alphabet's uniformity (whose limit grows with the length, since the key's own alphabet may be smaller still), a
 test of the number of runs of codes above and below the middle, and a test of serial correlation must not reject it.
 And it must not look like words: its chi-squared statistic and its changes of character class are held against those of text,
 both combine to one p-value, and a Benjamini-Hochberg step over all candidates of like length controls the share of false
@@ -25,6 +26,23 @@ KINDS = [
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Share of false discoveries, and how improbable a random string must be to fail a randomness test (deviations).
 FALSE_SHARE, LEAST_FIT = 0.01, 4.0
+#: What an alphabet that lacks an eighth of the inferred symbols (as base58 or Crockford's base32) adds to chi-squared, a character.
+LACKING = 1 / 7
+#: Encodings, the tightest first, as (pattern, symbols); those of one case are shown in lower case.
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_BOTH = _LOWER.upper() + _LOWER
+ENCODINGS = [
+    ("[0-9]+", _DIGITS),
+    ("[0-9a-f]+|[0-9A-F]+", _DIGITS + "abcdef"),
+    ("[a-z]+|[A-Z]+", _LOWER),
+    ("[a-z2-7]+|[A-Z2-7]+", _LOWER + "234567"),
+    ("[a-z0-9]+|[A-Z0-9]+", _LOWER + _DIGITS),
+    ("[A-Za-z]+", _BOTH),
+    ("[A-Za-z0-9]+", _BOTH + _DIGITS),
+    ("[A-Za-z0-9+/]+", _BOTH + _DIGITS + "+/"),
+    ("[A-Za-z0-9_-]+", _BOTH + _DIGITS + "-_"),
+]
+_ALL, ONE_CASE = _BOTH + _DIGITS + "+/-_", 36
 #: Under text: the probability that two letters are equal, that three are, and that neighbours differ in class.
 PAIR, TRIPLE, CHANGE = 0.066, 0.0055, 0.12
 GRID = 4
@@ -57,10 +75,7 @@ def places(x: Column, kind: int, keep) -> Column:
 
 def battery(token: Column) -> Column:
     """struct(fits, z): whether the randomness tests let the token pass, and how far it is from text."""
-    n = F.length(token)
     core = F.regexp_replace(token, "[=]+$", "")
-    alphabet = F.when(F.regexp_like(core, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit("0123456789abcdef")).when(F.regexp_like(core, F.lit("^[A-Z2-7]+$")), F.lit("abcdefghijklmnopqrstuvwxyz234567")).otherwise(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
-    shown = F.when(F.length(alphabet) < 64, F.lower(core)).otherwise(core)
 
     def tests(x):
         t, k = x["t"], x["k"].cast("double")
@@ -77,11 +92,14 @@ def battery(token: Column) -> Column:
         expected = 2 * n1 * n2 / m + 1
         spread = F.sqrt(F.greatest(F.lit(1e-9), 2 * n1 * n2 * (2 * n1 * n2 - m) / (m * m * (m - 1))))
         mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / m
-        away = F.transform(codes, lambda c: c - mean)
+        away = let(mean, lambda held: F.transform(codes, lambda c: c - held))
         own = F.aggregate(away, F.lit(1e-9), lambda a, c: a + c * c)
         cross = F.aggregate(F.zip_with(F.slice(away, 1, F.size(away) - 1), F.slice(away, 2, F.size(away) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
         serial = cross / own * F.sqrt(m)
-        fits = (uniform < LEAST_FIT) & (F.abs((runs - expected) / spread) < LEAST_FIT) & (F.abs(serial) < LEAST_FIT)
+        # of an alphabet that lacks symbols, mean and variance grow with the length
+        more = LACKING * m
+        limit = (more + LEAST_FIT * F.sqrt(2 * (k - 1) + 4 * more)) / F.sqrt(2 * (k - 1))
+        fits = (uniform < limit) & (F.abs((runs - expected) / spread) < LEAST_FIT) & (F.abs(serial) < LEAST_FIT)
         text_squares = m + m * (m - 1) * PAIR
         text_spread = F.sqrt(4 * m * m * m * (TRIPLE - PAIR * PAIR) + 2 * m * m * PAIR * (1 - PAIR))
         smooth = (text_squares - squares) / text_spread
@@ -90,8 +108,19 @@ def battery(token: Column) -> Column:
         busy = (changes - CHANGE * (m - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (m - 1))
         return F.struct(fits.alias("fits"), ((smooth + 2 * busy) / F.sqrt(F.lit(5.0))).alias("z"))
 
-    held = F.struct(shown.alias("t"), core.alias("raw"), F.length(alphabet).alias("k"), F.transform(F.split(shown, ""), lambda c: F.instr(alphabet, c).cast("double")).alias("codes"))
-    return F.when(F.length(core) >= 16, let(held, tests)).otherwise(F.struct(F.lit(False).alias("fits"), F.lit(0.0).alias("z")))
+    # each step is bound, so that no character repeats it
+    def named(core):
+        found = F.coalesce(*[F.when(F.regexp_like(core, F.lit(f"^({pattern})$")), F.lit(symbols)) for pattern, symbols in ENCODINGS], F.lit(_ALL))
+        return F.struct(core.alias("raw"), found.alias("alphabet"))
+
+    def coded(x):
+        k = F.length(x["alphabet"])
+        shown = F.when(k <= ONE_CASE, F.lower(x["raw"])).otherwise(x["raw"])
+        codes = lambda t: F.transform(F.split(t, ""), lambda c: F.instr(x["alphabet"], c).cast("double"))
+        return let(shown, lambda t: F.struct(t.alias("t"), x["raw"].alias("raw"), k.alias("k"), codes(t).alias("codes")))
+
+    judged = let(core, lambda c: let(named(c), lambda x: let(coded(x), tests)))
+    return F.when(F.length(core) >= 16, judged).otherwise(F.struct(F.lit(False).alias("fits"), F.lit(0.0).alias("z")))
 
 
 def candidates(text: Column, base: Column) -> Column:

@@ -226,6 +226,19 @@ def test_random_strings_are_found(spark):
     assert len(found & set(range(30))) >= 27 and not found & set(range(100, 130))
 
 
+def test_long_random_strings_of_any_alphabet_are_found(spark):
+    r = random.Random(12)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    both = low.upper() + low + digits
+    kinds = [(low + digits, 64), (low + digits, 128), (low.upper() + digits, 64), (low + "234567", 64), (both, 1000), (both + "+/", 2400), (both + "-_", 2400)]
+    kinds += [("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 1000), ("0123456789abcdefghjkmnpqrstvwxyz", 1000)]
+    rows = [(100 * k + i, "see " + "".join(r.choice(symbols) for _ in range(n)) + " there") for k, (symbols, n) in enumerate(kinds) for i in range(20)]
+    prose = ["section", "chapter", "thing", "house", "weather", "morning", "people", "water"]
+    rows += [(5000 + i, "see " + "".join(r.choice(prose) + r.choice(digits) * (r.random() < 0.3) for _ in range(n)) + "2 there") for i, n in enumerate((4, 10, 20, 150, 400) * 6)]
+    found = {x.doc_id for x in secrets.scan(frame(spark, rows)).where("size(found) > 0").collect()}
+    assert all(len(found & set(range(100 * k, 100 * k + 20))) >= 18 for k in range(len(kinds))) and not {x for x in found if x >= 5000}
+
+
 def test_sharding(spark, odd_rows):
     docs = frame(spark, [*odd_rows, *[(7777, "same row " * 50)] * 500])
     rows = common.materialize(sharding.sized(docs, 24), "t")
