@@ -26,18 +26,39 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row: a 64-bit hash of its doc_id, which may be null or repeat, and its text."""
+    rows = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumn("__key", rows)
+
+
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the one of the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs, shingle=5, share=80)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8) stays: one of the smallest doc_id, null last.
+
+    Rows are told apart by doc_id and text: a null id is no id to join on, and each text of a repeated id has its own group.  Of
+    rows that repeat both one stays.  Texts without words are in no group and all stay.
+    """
+    rows = keyed(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"), shingle=5, share=80).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("component"), F.count("*").alias("times"))
+    found = common.materialize(found, "found")
+    ids = rows.select("__key", F.col("doc_id").cast("long").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key").alias("key")))
+    stay = ids.join(found, "__key").groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
+    gone = common.materialize(found.select("__key").join(stay, "__key", "left_anti"), "gone")
+    out = rows.join(gone, "__key", "left_anti")
+    again = found.where("times > 1").select("__key")
+    if not again.isEmpty():
+        out = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.matches(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """Rows that hold a benchmark item go; rows are told apart by doc_id and text, as above."""
+    rows = keyed(docs)
+    found = decontaminate.matches(rows.select(F.col("__key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(gone, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -346,3 +346,18 @@ def test_pipeline(spark):
             assert all(x.decoded_sha256 == hashlib.sha256((texts[x.doc_id] or "").encode()).hexdigest() for x in out.collect())
         docs, before = out, out.count()
     assert corpus_pipeline.run(spark, DATA).count() == before
+
+
+def test_pipeline_stages_tell_rows_with_null_and_repeated_ids_apart(spark):
+    r = random.Random(6)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " x"), (5, b), (5, b), (5, c), (7, c), (4, b), (None, d), (None, None), (None, None), (8, ""), (8, "")]
+    out = corpus_pipeline.dedup_documents(spark, frame(spark, rows), DATA)
+    assert out.columns == frame(spark, []).columns
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=repr)
+    left = [x for x in got if x[1] not in (a, a + " x")]
+    assert left == sorted([(4, b), (5, c), (None, d), (None, None), (None, None), (8, ""), (8, "")], key=repr) and len(got) == len(left) + 1
+    item = common.table(spark, DATA, "benchmark").where("item_id = 3").first().text
+    rows = [(None, f"{a} {item} {b}"), (None, c), (9, item), (9, d), (9, d), (1, a)]
+    out = corpus_pipeline.decontaminate_documents(spark, frame(spark, rows), DATA)
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=repr) == sorted([(None, c), (9, d), (9, d), (1, a)], key=repr)
