@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import tempfile
 import uuid
@@ -173,23 +172,33 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+#: Tables that one task of ``tree_sum`` adds up.
+FAN = 16
+
+
 def tree_sum(rows: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """The sum of equally long arrays (a binary column ``table``), first in groups; only the sum comes to the driver."""
+    """The sum of equally long arrays (a binary column ``table``, about one a task); only the sum comes to the driver.
+
+    The tree is as deep as the number of tasks asks for: no task adds more than about FAN tables.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         total = None
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                x = np.frombuffer(x, dtype)
-                total = x.copy() if total is None else total + x
+            for x in batch.column(0):
+                x = np.frombuffer(x.as_buffer(), dtype)
+                total = x.copy() if total is None else np.add(total, x, out=total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
-    groups = math.isqrt(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
-    got = rows.repartition(groups).mapInArrow(tidied(run), "table binary").coalesce(1).mapInArrow(tidied(run), "table binary").collect()
-    return np.frombuffer(got[0].table, dtype).copy() if got else np.zeros(size, dtype)
+    n = rows.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN)
+        rows = rows.repartition(n).mapInArrow(tidied(run), "table binary")
+    got = rows.collect()
+    return np.sum([np.frombuffer(x.table, dtype) for x in got], axis=0, dtype=dtype) if got else np.zeros(size, dtype)
 
 
 # -- sets of keys, pairs, components --------------------------------------------------------

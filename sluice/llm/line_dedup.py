@@ -1,13 +1,16 @@
-"""Near-duplicate lines by an exact set-similarity join.
-
-A line's tokens are its distinct shingles of five words (of fewer words, the whole line).  Lines with the same tokens are one
-class.  Tokens are ordered by rarity, counted over all lines in a table of fixed size (any order gives the same result; a
-good one keeps common tokens out of the prefixes).  Two classes whose Jaccard similarity reaches the threshold share a token of
-their prefixes; sizes and positions exclude most others; full sets decide.  A line goes if an earlier line (by doc_id, then
-place) matches it.
-
-Every later line needs one earlier match only.  So a class first meets the earliest class of each prefix token; only classes
-that this leaves open meet all earlier classes of their tokens.
+"""Near-duplicate lines by an exact set-similarity join over words.
+
+A line's tokens are its distinct words.  Lines with the same tokens are one class.  Tokens are ordered by rarity, counted over
+all lines in a table of fixed size (any order gives the same result; a good one keeps common words out of the prefixes).
+Two classes whose Jaccard similarity reaches the threshold share a token of their prefixes; the shorter one's prefix may even
+end sooner.  Sizes, positions and a bitmap filter exclude most others: the parities of a set's hashed tokens differ in at
+most as many bits as the sets differ in tokens.  Full sets decide.  A line goes if an earlier line (by doc_id, then place)
+matches it.
+
+Lines and prefix entries travel as packed arrays, dealt out by token.  A token that so many lines hold that its entries could
+be a large part of a task goes another way: its entries are counted, each first meets the earliest class of its
+token, and what this leaves open is compared in pairs of blocks.  Only pairs that pass all filters become rows, and of these
+the NEAREST of each class first: every line needs one earlier match only.
 """
 
 from __future__ import annotations
@@ -15,14 +18,27 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm import common
 
 #: Cells of the table of counts (a power of two).
-CELLS = 1 << 18
+CELLS = 1 << 20
+#: Earlier classes of a class that are verified first, the most alike ones: so many if the bitmaps say that one is well within the limit, else more.
+NEAREST, UNSURE = 4, 128
+#: Entries of a token that surely meet in one task, and the part of a task's usual share that they may be at larger sizes.
+TOGETHER, PART = 20_000, 16
+#: Entries of a block of a larger token.
+BLOCK_ROWS = 8192
+#: Prefix entries that a task packs at once, and pairs that are compared at once.
+PACKED, PAIRS = 400_000, 1 << 19
 NO_ID = -(2**63)
+#: Sizes and places from here on are all stored as this one, and filters then let everything pass.
+BEYOND = 65535
+ENTRY = np.dtype([("token", "<u8"), ("half", "<u8"), ("low", "<u8"), ("high", "<u8"), ("did", "<i8"), ("line", "<u4"), ("n", "<u2"), ("pos", "<u2")])
+LINE = np.dtype([("did", "<i8"), ("dk", "<i8"), ("line", "<i4"), ("n", "<i4"), ("cls", "V16")])
+#: What the tasks give: lines (kind 0: x is dk, y half), pairs (1: x later than y, pos tells whether more passed), entries of large tokens (2: x token, y half).
+FOUND = "kind int, did long, line int, n int, pos int, x long, y long, low long, high long, cls binary"
 
 
 def words_of_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -38,26 +54,8 @@ def words_of_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h, sizes, text, line - begin[text]
 
 
-def tokens(h: np.ndarray, sizes: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line numbers, tokens) from the words' hashes; the tokens are those of ``common.shingles``."""
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-    lines, out = [], []
-    with np.errstate(over="ignore"):
-        for w in range(1, shingle + 1):
-            if w < shingle:
-                line = np.flatnonzero(sizes == w)
-                at = begin[line]
-            else:
-                count = np.maximum(0, sizes - shingle + 1)
-                line = np.repeat(np.arange(len(sizes)), count)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[line]
-            t = np.full(len(at), np.uint64(w), np.uint64)
-            for i in range(w):
-                t = (t + h[at + i]) * common._P3
-                t ^= t >> np.uint64(29)
-            lines.append(line)
-            out.append(common.mix(t))
-    return np.concatenate(lines), np.concatenate(out)
+def cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -66,69 +64,226 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("dk"), "text")
 
 
-def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How often tokens of each cell occur in all lines."""
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How often words of each cell occur in all lines."""
 
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(CELLS, np.int64)
+        total, held, size = np.zeros(CELLS, np.float32), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                h, sizes, _, _ = words_of_lines(batch.slice(at, 100).column(0).to_pylist())
-                _, t = tokens(h, sizes, shingle)
-                total += np.bincount((t >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+                held.append(cell(common.word_hashes(b"\n".join(common.lowered(t) for t in batch.slice(at, 100).column(0).to_pylist()))[0]).astype(np.int32))
+                size += len(held[-1])
+                if size > 2 * CELLS:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["table"])
 
-    return common.tree_sum(common.texts(docs).select("text").mapInArrow(common.tidied(run), "table binary"), "<i8", CELLS)
+    return common.tree_sum(common.texts(docs).select("text").mapInArrow(common.tidied(run), "table binary"), "<f4", CELLS)
 
 
-def line_table(docs: DataFrame, shingle: int, share: int) -> DataFrame:
-    """(did, dk, line, cls, n, prefix) of each line that is not blank; only a task's first line of a class has its prefix."""
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs, shingle))  # CELLS numbers
+def overlap(both, share: int):
+    """The least overlap of sets with ``both`` items together: ceil(share * both / (100 + share))."""
+    return -(-share * both // (100 + share))
 
-    def run(batches):
+
+def candidates(e: np.ndarray, share: int, group: np.ndarray | None = None, side: np.ndarray | None = None, open_: np.ndarray | None = None):
+    """Yields (later, earlier, distance, whether that is well within the limit) of entries of one token that sizes, places and bitmaps allow, as places in ``e``.
+
+    ``group`` tells which entries meet (else the token); ``side`` excludes pairs of one side; ``open_`` tells whose earlier matches are sought.
+    """
+    group = e["token"] if group is None else group
+    order = np.lexsort((e["n"], group))
+    n, pos, g = e["n"][order].astype(np.int64), e["pos"][order].astype(np.int64), group[order]
+    number = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    key = (number << 17) + n
+    most = np.where(n >= BEYOND, BEYOND, np.minimum(BEYOND, 100 * n // share))
+    start = np.arange(1, len(e) + 1)
+    stop = np.searchsorted(key, (number << 17) + most, "right")
+    # the smaller set of a pair needs 2 * share / (100 + share) of its items
+    stop = np.where((n < BEYOND) & (pos >= n - overlap(2 * n, share) + 1), start, np.maximum(start, stop))
+    ends, at = np.cumsum(stop - start), 0
+    low, high, did, line = e["low"][order], e["high"][order], e["did"][order], e["line"][order]
+    while at < len(e):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        many = (stop - start)[at:to]
+        u = np.repeat(np.arange(at, to), many)
+        v = np.arange(len(u)) - np.repeat(np.cumsum(many) - many, many) + start[u]
+        at = to
+        both = n[u] + n[v]
+        need = overlap(both, share)
+        sure = n[v] < BEYOND
+        # this token is the first that both have, or another one finds the pair
+        ok = (np.minimum(n[u] - pos[u], n[v] - pos[v]) >= need) | ~sure
+        u, v, both, need, sure = u[ok], v[ok], both[ok], need[ok], sure[ok]
+        apart = np.bitwise_count(low[u] ^ low[v]).astype(np.int64) + np.bitwise_count(high[u] ^ high[v])
+        ok = (apart <= both - 2 * need) | ~sure
+        if side is not None:
+            ok &= side[order[u]] != side[order[v]]
+        well = 2 * apart <= both - 2 * need
+        u, v, apart, well = u[ok], v[ok], apart[ok], well[ok]
+        after = (did[u] > did[v]) | ((did[u] == did[v]) & (line[u] > line[v]))
+        tied = (did[u] == did[v]) & (line[u] == line[v])  # texts of one doc_id; the full order decides later
+        a = np.concatenate([np.where(after, u, v), np.where(after, v, u)[tied]])
+        b = np.concatenate([np.where(after, v, u), np.where(after, u, v)[tied]])
+        apart, well = np.concatenate([apart, apart[tied]]), np.concatenate([well, well[tied]])
+        a, b = order[a], order[b]
+        if open_ is not None:
+            ok = open_[a]
+            a, b, apart, well = a[ok], b[ok], apart[ok], well[ok]
+        if len(a):
+            yield a, b, apart, well
+
+
+def earliest(e: np.ndarray) -> np.ndarray:
+    """One entry of each token and class, the earliest."""
+    e = e[np.lexsort((e["line"], e["did"], e["half"], e["token"]))]
+    return e[np.concatenate([[True], (e["token"][1:] != e["token"][:-1]) | (e["half"][1:] != e["half"][:-1])])] if len(e) else e
+
+
+def nearest(found, e: np.ndarray, whole: bool):
+    """(later class, earlier class, whether it has more) of the candidates; of each class the nearest ones, or all."""
+    found = list(found)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    a, b, apart, well = (np.concatenate(x) for x in zip(*found))
+    a, b = e["half"][a].view(np.int64), e["half"][b].view(np.int64)
+    order = np.lexsort((b, apart, ~well, a))
+    a, b, well = a[order], b[order], well[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) & (a != b)
+    a, b, well = a[fresh], b[fresh], well[fresh]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(a)))
+    most = sizes if whole else np.where(well[first], NEAREST, UNSURE)
+    keep = np.arange(len(a)) - np.repeat(first, sizes) < np.repeat(most, sizes)
+    return a[keep], b[keep], np.repeat(sizes > most, sizes)[keep].astype(np.int32)
+
+
+def halves(cls: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each class."""
+    return np.frombuffer(cls.tobytes(), "<i8")[::2].copy()
+
+
+def _rows(kind: int, size: int, **columns):
+    import pyarrow as pa
+
+    schema = [f.split(" ") for f in FOUND.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns["kind"] = np.full(size, kind)
+    cast = {"int": np.int32, "long": np.int64}
+    made = lambda x, t: pa.array(np.ascontiguousarray(x).astype(cast[t], copy=False)) if t in cast else x
+    return pa.RecordBatch.from_arrays([made(columns[c], t) if c in columns else pa.nulls(size, kinds[t]) for c, t in schema], [c for c, _ in schema])
+
+
+def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: set[int] | None = None) -> DataFrame:
+    """Lines, pairs and entries of large tokens, as FOUND says.  ``only``: all pairs whose later class is one of these, and nothing else."""
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    together = max(TOGETHER, float(counts.sum()) * (100 - share) / 100 / parts / PART)
+    held = spark.sparkContext.broadcast((counts, only))  # CELLS numbers, and a checked number of classes
+    keys = 4 * parts
+
+    def pack(batches):
         import pyarrow as pa
 
-        seen: set[bytes] = set()
-        common_ = np.minimum(63, 4 * np.log2(1 + counts.value)).astype(np.uint64)  # in steps of a fourth of a doubling
+        counts, only = held.value
+        steps = np.minimum(127, 4 * np.log2(1 + counts)).astype(np.uint64)  # in steps of a fourth of a doubling
+        large = counts > together
+        seen: dict[bytes, list[int]] = {}  # the earliest place of a class so far
+        lines, entries, size = [], [], 0
+
+        def flush():
+            l, e = np.concatenate(lines), np.concatenate(entries)
+            lines.clear(), entries.clear()
+            deal_l = np.arange(len(l)) % keys
+            big = large[cell(e["token"])]
+            deal_e = (common.mix(np.where(big, e["half"], e["token"])) % np.uint64(keys)).astype(np.int64)
+            l, e = l[np.argsort(deal_l, kind="stable")], e[np.argsort(deal_e, kind="stable")]
+            cut_l, cut_e = np.cumsum(np.bincount(deal_l, minlength=keys)), np.cumsum(np.bincount(deal_e, minlength=keys))
+            some = np.flatnonzero(np.diff(cut_l, prepend=0) + np.diff(cut_e, prepend=0))
+            to = lambda x, cut, i: x[cut[i - 1] if i else 0 : cut[i]].tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([to(l, cut_l, i) for i in some], pa.binary()), pa.array([to(e, cut_e, i) for i in some], pa.binary())], ["part", "lines", "entries"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 h, sizes, doc, places = words_of_lines(part.column(2).to_pylist())
                 if not len(places):
                     continue
-                line, t = tokens(h, sizes, shingle)
-                often = common_[(t >> np.uint64(46)).astype(np.int64)]
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                often = steps[cell(h)]
                 # line, then rarity, then the token itself
-                order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | (often << np.uint64(42)) | (t >> np.uint64(22))) if len(places) < 2**16 else np.lexsort((t, often, line))
-                line, t = line[order], t[order]
-                fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (t[1:] != t[:-1])])
-                line, t = line[fresh], t[fresh]
-                n = np.bincount(line, minlength=len(places))
+                packed = (own.astype(np.uint64) << np.uint64(48)) | (often << np.uint64(41)) | (h >> np.uint64(23))
+                order = np.argsort(packed)
+                packed = packed[order]
+                if len(places) >= 2**16 or ((packed[1:] == packed[:-1]) & (h[order][1:] != h[order][:-1])).any():
+                    order = np.lexsort((h, often, own))
+                t, own = h[order], own[order]
+                fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (t[1:] != t[:-1])])
+                t, own = t[fresh], own[fresh]
+                n = np.bincount(own, minlength=len(places))
                 ends = np.cumsum(n)
-                cls, raw, new = [], t.tobytes(), np.zeros(len(places), bool)
-                for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist())):
-                    cls.append(c := xxhash.xxh3_128_digest(raw[8 * a : 8 * b]))
-                    if c not in seen:
+                raw, cls, new, did = t.tobytes(), [], np.zeros(len(places), bool), part.column(0).to_numpy()[doc]
+                for i, (a, b, *own_place) in enumerate(zip((8 * (ends - n)).tolist(), (8 * ends).tolist(), did.tolist(), places.tolist())):
+                    cls.append(c := xxhash.xxh3_128_digest(raw[a:b]))
+                    if (before := seen.get(c)) is None or own_place < before:
                         new[i] = True
                         if len(seen) >= 150_000:
                             seen.clear()
-                        seen.add(c)
+                        seen[c] = own_place
+                cls = np.frombuffer(b"".join(cls), "V16")
+                rows = np.empty(len(places), LINE)
+                rows["did"], rows["dk"], rows["line"], rows["n"], rows["cls"] = did, part.column(1).to_numpy()[doc], places, n, cls
+                lines.append(rows)
                 p = np.where(new & (n > 3), n - (-(-share * n // 100)) + 1, 0)  # smaller sets match equal ones only
                 place = np.arange(len(t)) - np.repeat(ends - n, n)
-                held = t[place < p[line]].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(places.astype(np.int32)), pa.array(cls, pa.binary()), pa.array(n, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(held)),
-                    ], ["did", "dk", "line", "cls", "n", "prefix"],
-                )
-
-    return _keyed(docs).mapInArrow(common.tidied(run), "did long, dk long, line int, cls binary, n int, prefix array<long>")
-
+                bit = common.mix(t) >> np.uint64(57)
+                one = np.uint64(1) << (bit & np.uint64(63))
+                bits = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), ends - n) for k in (np.uint64(0), np.uint64(1))]
+                keep = place < p[own]
+                of = own[keep]
+                e = np.empty(len(of), ENTRY)
+                e["token"], e["half"], e["low"], e["high"] = t[keep], halves(cls)[of].view(np.uint64), bits[0][of], bits[1][of]
+                e["did"], e["line"], e["n"], e["pos"] = rows["did"][of], places[of], np.minimum(n, BEYOND)[of], np.minimum(place, BEYOND)[keep]
+                entries.append(e)
+                size += len(e) + len(rows)
+                if size >= PACKED:
+                    yield flush()
+                    size = 0
+        if lines:
+            yield flush()
+
+    def compare(batches):
+        import pyarrow as pa
 
-def line_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+        counts, only = held.value
+        large, found = counts > together, []
+        for batch in batches:
+            for raw in batch.column(1).to_pylist() if only is None else ():
+                x = np.frombuffer(raw, LINE)
+                cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x["cls"].tobytes())]).cast(pa.binary())
+                yield _rows(0, len(x), did=x["did"], line=x["line"], n=x["n"], x=x["dk"], y=halves(x["cls"]), cls=cls)
+            for raw in batch.column(2).to_pylist():
+                e = np.frombuffer(raw, ENTRY)
+                big = large[cell(e["token"])]
+                if big.any() and only is None:
+                    x = e[big]
+                    yield _rows(2, len(x), did=x["did"], line=x["line"], n=x["n"], pos=x["pos"], x=x["token"], y=x["half"], low=x["low"], high=x["high"])
+                found.append(e[~big])
+        e = earliest(np.concatenate(found)) if found else np.zeros(0, ENTRY)
+        sought = None if only is None else np.isin(e["half"].copy().view(np.int64), np.fromiter(only, np.int64, len(only)))
+        a, b, more = nearest(candidates(e, share, open_=sought), e, only is not None)
+        yield _rows(1, len(a), x=a, y=b, pos=more)
+
+    packed = _keyed(docs).mapInArrow(common.tidied(pack), "part int, lines binary, entries binary")
+    return packed.repartition(parts, "part").mapInArrow(common.tidied(compare), FOUND)
+
+
+def line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(id, items) of the lines in ``needed`` (id, did, dk, line)."""
     wanted = needed.groupBy("did", "dk").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
     right = wanted.withColumnsRenamed({"did": "d1", "dk": "d2"})
@@ -148,56 +303,106 @@ def line_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                     for x in lines:
                         ids.append(x["id"])
                         held.append(own[x["line"]])
-                items = [common.shingles(h, shingle).tobytes() for h in common.hashed_words(held)]
+                items = [np.unique(h).tobytes() for h in common.hashed_words(held)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "items"])
 
     return rows.mapInArrow(common.tidied(run), "id long, items binary")
 
 
-def marked_lines(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
+def compared(dealt: DataFrame, share: int) -> DataFrame:
+    """Pairs (a later than b) of rows of one (token, i, j) that the filters allow, a open; rows of one block meet if i is j.
+
+    ``dealt`` has token, i, j, own and the columns of an entry; a group holds about two blocks.
+    """
+    names = ["token", "i", "j", "own", "half", "did", "line", "n", "pos", "low", "high", "open"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(c):
+            e = np.empty(len(c["token"]), ENTRY)
+            for k in ("half", "low", "high", "token"):
+                e[k] = c[k].view(np.uint64)
+            for k in ("did", "line", "n", "pos"):
+                e[k] = c[k]
+            change = np.concatenate([[False], (np.diff(c["token"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)])
+            same = c["i"] == c["j"]  # one block: every entry is a side of its own
+            side = np.where(same, np.arange(len(e)), -1 - c["own"])
+            a, b, _ = nearest(candidates(e, share, np.cumsum(change), side, c["open"].astype(bool)), e, True)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+            if held:
+                c = {x: np.concatenate([held[x], c[x]]) for x in c}
+            whole = np.flatnonzero((c["token"] != c["token"][-1]) | (c["i"] != c["i"][-1]) | (c["j"] != c["j"][-1]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut >= PACKED // 8:  # a batch may end within a group
+                yield out({x: y[:cut] for x, y in c.items()})
+                c = {x: y[cut:] for x, y in c.items()}
+            held = c
+        if held and len(held["token"]):
+            yield out(held)
+
+    return dealt.select(names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(common.tidied(run), "a long, b long")
+
+
+def marked_lines(docs: DataFrame, share: int = 80) -> DataFrame:
     """(did, dk, line, removed) of each line that is not blank; see the module.
 
     did is the doc_id (a missing one is -2^63 and comes first), dk a hash of the text, line the place from 0.  Blank
-    lines are in no answer.  Null and empty texts have none.
+    lines are in no answer.  Null and empty texts have none; an empty table gives no rows.  Lines that repeat or tie with an
+    earlier one go; rows that repeat a doc_id and its text are one document.  Very long texts and lines are taken whole.
     """
-    lines = common.materialize(line_table(docs, shingle, share), "lines")
-    grouped = lines.groupBy("cls").agg(F.min(F.struct("did", "dk", "line")).alias("first"), F.first("n").alias("n"))
-    classes = common.materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    half = F.xxhash64("cls")
-    rows = lines.where("size(prefix) > 0").select(half.alias("half"), "n", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", "half", F.expr("shiftleft(bigint(n), 32) + pos").alias("at"))
-    w = W.partitionBy("token")
-    # a token of one class makes no pair
-    shared = rows.withColumn("x", F.min("half").over(w)).withColumn("y", F.max("half").over(w)).where("x <> y").select("token", "half", "at").distinct()
-    named = classes.select(half.alias("half"), "id", "first")
-    met = common.materialize(shared.join(named, "half").select("token", "id", "first", F.expr("int(shiftright(at, 32))").alias("n"), F.expr("int(at & 4294967295)").alias("pos")), "met")
-
-    # overlap needed: ceil(share * (n + m) / (100 + share)); what can still be shared from this token on must reach it
-    can = f"100 * least(na, nb) >= {share} * greatest(na, nb) AND least(na - posa, nb - posb) * {100 + share} >= {share} * (na + nb)"
+    counts = rarity(docs)
+    found = common.materialize(found_lines(docs, share, counts), "lines")
+    lines = found.where("kind = 0").select("did", F.col("x").alias("dk"), "line", "cls", F.col("y").alias("half"))
+    classes = common.materialize(lines.groupBy("cls").agg(F.min(F.struct("did", "dk", "line")).alias("first"), F.min("half").alias("half")), "line-classes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """(id) of classes that an earlier class matches."""
         pairs = common.materialize(pairs.select("a", "b").distinct(), "line-pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        needed = common.materialize(classes.join(ids, "id", "left_semi").select("id", "first.did", "first.dk", "first.line"), "needed")
-        return common.materialize(common.similar(pairs, line_sets(docs, needed, shingle), share).select(F.col("a").alias("id")).distinct(), "gone")
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("token", F.col("id").alias(x), F.col("first").alias("first" + x), F.col("n").alias("n" + x), F.col("pos").alias("pos" + x))
-
-    a, b = side(met, "a"), side(met, "b")
-    head = met.groupBy("token").agg(F.min(F.struct("first", "id", "n", "pos")).alias("h")).select("token", F.col("h.id").alias("b"), F.col("h.first").alias("firstb"), F.col("h.n").alias("nb"), F.col("h.pos").alias("posb"))
-    gone = confirmed(a.join(head, "token").where("a <> b").where(can))
-    open_ = a.join(gone, a["a"] == gone["id"], "left_anti").join(head.select("token", F.col("b").alias("h")), "token")
-    more = confirmed(open_.join(b, "token").where("firstb < firsta AND b <> h").where(can))
-    gone = gone.union(more).distinct()
-    verdict = classes.join(gone.withColumn("out", F.lit(True)), "id", "left").select("cls", "first", F.coalesce("out", F.lit(False)).alias("out"))
+        ids = pairs.select(F.col("a").alias("half")).union(pairs.select("b")).distinct()
+        needed = common.materialize(classes.join(ids, "half", "left_semi").select(F.col("half").alias("id"), "first.did", "first.dk", "first.line"), "needed")
+        linked = common.similar(pairs, line_sets(docs, needed), share)
+        place = lambda x: needed.select(F.col("id").alias(x), F.struct("did", "dk", "line").alias("first" + x))
+        tied = linked.join(place("a"), "a").join(place("b"), "b")
+        return common.materialize(tied.where("firstb < firsta").select(F.col("a").alias("id")).distinct(), "gone")
+
+    near = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("pos") > 0).alias("more"))
+    large = found.where("kind = 2").select(F.col("x").alias("token"), F.col("y").alias("half"), "did", "line", "n", "pos", "low", "high")
+    large = common.materialize(large.groupBy("token", "half").agg(F.min(F.struct("did", "line", "n", "pos", "low", "high")).alias("e")).select("token", "half", "e.*"), "large")
+    head = large.groupBy("token").agg(F.min(F.struct("did", "line", "half", "n", "pos", "low", "high")).alias("h"), F.count("*").alias("size"))
+    head = common.materialize(head.where("size > 1").select("token", "size", *[F.col(f"h.{c}").alias("h_" + c) for c in ("half", "n", "pos", "low", "high")]), "heads")
+    least = F.expr(f"cast(ceil({share} * (n + h_n) / {100 + share}) as int)")
+    apart = F.expr("bit_count(low ^ h_low) + bit_count(high ^ h_high)")
+    sure = F.greatest("n", "h_n") < BEYOND
+    can = ((F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos")) >= least) & (apart <= F.col("n") + F.col("h_n") - 2 * least)) | ~sure
+    with_head = large.join(head, "token").where("half <> h_half")
+    gone = confirmed(near.union(with_head.where(can).select(F.col("half").alias("a"), F.col("h_half").alias("b"), F.lit(False))))
+    # what is still open and has not met all
+    blocks = with_head.join(gone, F.col("half") == F.col("id"), "left").withColumn("open", F.col("id").isNull()).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("own", F.expr("pmod(xxhash64(half), blocks)"))
+    dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    more = compared(dealt, share)
+    short = near.where("more").select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti")
+    left = common.materialize(short, "open")
+    turns = -(-left.count() // common.BROADCAST_ROWS)
+    for turn in range(turns):  # one, but for very many: their set goes to every executor
+        ids = {x.id for x in left.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).collect()}
+        rest = found_lines(docs, share, counts, ids).where("kind = 1")
+        more = more.union(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    gone = gone.union(confirmed(more)).distinct()
+    verdict = classes.join(gone.withColumn("out", F.lit(True)), F.col("half") == F.col("id"), "left").select("cls", "first", F.coalesce("out", F.lit(False)).alias("out"))
     marked = lines.select("did", "dk", "line", "cls").distinct().join(verdict, "cls")
     return marked.select("did", "dk", "line", (F.col("out") | (F.struct("did", "dk", "line") != F.col("first"))).alias("removed"))
 
 
-def removals(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
+def removals(docs: DataFrame, share: int = 80) -> DataFrame:
     """(did, dk, n_lines, removed): per document that has lines, how many, and the places of those that go, ascending."""
-    marked = marked_lines(docs, shingle, share)
+    marked = marked_lines(docs, share)
     return marked.groupBy("did", "dk").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"))
 
 
@@ -208,12 +413,13 @@ def without(text: Column, removed: Column) -> Column:
     return F.element_at(F.transform(F.array(held), lambda x: F.array_join(kept(x), "\n")), 1)
 
 
-def dedup_lines(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, share: int = 80) -> DataFrame:
     """``docs`` with the texts rewritten (and n_chars, if there is one); all other columns stay.
 
-    A document that has lost all lines goes; one that had none stays.  Rows that repeat a doc_id and text are treated alike.
+    A document that has lost all lines goes; one that had none (a null, empty or blank text) stays as it is.  Rows that repeat
+    a doc_id and text are treated alike; rows without a doc_id come before all others.  An empty table gives no rows.
     """
-    gone = removals(docs, shingle, share).where("size(removed) > 0").withColumnsRenamed({"did": "__did", "dk": "__dk", "n_lines": "__n", "removed": "__gone"})
+    gone = removals(docs, share).where("size(removed) > 0").withColumnsRenamed({"did": "__did", "dk": "__dk", "n_lines": "__n", "removed": "__gone"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__did")) & (F.xxhash64(text) == F.col("__dk")), "left")
     out = out.where("__n IS NULL OR size(__gone) < __n").withColumn("text", F.when(F.col("__n").isNull(), F.col("text")).otherwise(without(text, F.col("__gone"))))
@@ -223,7 +429,10 @@ def dedup_lines(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataFrame
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines that are not blank, n_removed, and the places of the removed lines."""
+    """Per document: doc_id, n_lines that are not blank, n_removed, and the places of the removed lines.
+
+    A null, empty or blank text has no lines; rows that repeat a doc_id and text each give the same row; an empty table gives none.
+    """
     docs = common.table(spark, sf_dir, "documents")
     keys = _keyed(docs).select("did", "dk")
     out = keys.join(removals(docs), ["did", "dk"], "left")

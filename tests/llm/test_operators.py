@@ -121,13 +121,13 @@ def brute_lines(rows, share=80):
     earlier, out = [], {}
     for d, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0)):
         for j, line in enumerate((t or "").split("\n")):
-            if s := shingle_set(line, 5):
+            if s := frozenset(words(line)):
                 out[d, j] = any(linked(s, e, share) for e in earlier)
                 earlier.append(s)
     return out
 
 
-def test_lines(spark):
+def test_lines(spark, monkeypatch):
     r = random.Random(5)
     vocabulary = [f"v{i}" for i in range(60)]
     lines = [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 60))) for _ in range(60)]
@@ -140,10 +140,18 @@ def test_lines(spark):
                 w[r.randrange(len(w))] = "new"
             own.append(" ".join(w).upper() if r.random() < 0.2 else " ".join(w))
         rows.append((d, "\n".join(own)))
-    docs = frame(spark, rows)
+    docs = frame(spark, rows).repartition(3)
     got = {(x.did, x.line): x.removed for x in line_dedup.marked_lines(docs).collect()}
     want = brute_lines(rows)
     assert got == want
+    with monkeypatch.context() as m:  # every token is a large one, in small blocks; then few candidates at first
+        for name, value in (("TOGETHER", 0), ("PART", 10**9), ("BLOCK_ROWS", 3), ("PACKED", 50), ("PAIRS", 11)):
+            m.setattr(line_dedup, name, value)
+        assert {(x.did, x.line): x.removed for x in line_dedup.marked_lines(docs).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "NEAREST", 1)
+        m.setattr(line_dedup, "UNSURE", 1)
+        assert {(x.did, x.line): x.removed for x in line_dedup.marked_lines(docs).collect()} == want
     kept = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs).collect()}
     for d, t in rows:
         left = [x for j, x in enumerate((t or "").split("\n")) if not want.get((d, j))]
