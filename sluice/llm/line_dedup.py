@@ -37,7 +37,8 @@ NO_ID = -(2**63)
 BEYOND = 65535
 ENTRY = np.dtype([("token", "<u8"), ("half", "<u8"), ("low", "<u8"), ("high", "<u8"), ("did", "<i8"), ("line", "<u4"), ("n", "<u2"), ("pos", "<u2")])
 LINE = np.dtype([("did", "<i8"), ("dk", "<i8"), ("line", "<i4"), ("n", "<i4"), ("cls", "V16")])
-#: What the tasks give: lines (kind 0: x is dk, y half), pairs (1: x later than y, pos tells whether more passed), entries of large tokens (2: x token, y half).
+#: What the tasks give: lines (kind 0: x is dk, y half), pairs (1: x later than y), entries of large tokens (2: x token, y half), entries of classes
+#: of which more pairs passed (3: x token, y half).
 FOUND = "kind int, did long, line int, n int, pos int, x long, y long, low long, high long, cls binary"
 
 
@@ -146,10 +147,10 @@ def earliest(e: np.ndarray) -> np.ndarray:
 
 
 def nearest(found, e: np.ndarray, whole: bool):
-    """(later class, earlier class, whether it has more) of the candidates; of each class the nearest ones, or all."""
+    """(later classes, earlier classes, those later ones that have more) of the candidates; of each class the nearest ones, or all."""
     found = list(found)
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, apart, well = (np.concatenate(x) for x in zip(*found))
     a, b = e["half"][a].view(np.int64), e["half"][b].view(np.int64)
     order = np.lexsort((b, apart, ~well, a))
@@ -160,7 +161,16 @@ def nearest(found, e: np.ndarray, whole: bool):
     sizes = np.diff(np.append(first, len(a)))
     most = sizes if whole else np.where(well[first], NEAREST, UNSURE)
     keep = np.arange(len(a)) - np.repeat(first, sizes) < np.repeat(most, sizes)
-    return a[keep], b[keep], np.repeat(sizes > most, sizes)[keep].astype(np.int32)
+    return a[keep], b[keep], a[first][sizes > most]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The records' first bytes, then their second ones, and so on: most are zero or alike, which Spark's compression then finds."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def records(raw: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def halves(cls: np.ndarray) -> np.ndarray:
@@ -179,12 +189,12 @@ def _rows(kind: int, size: int, **columns):
     return pa.RecordBatch.from_arrays([made(columns[c], t) if c in columns else pa.nulls(size, kinds[t]) for c, t in schema], [c for c, _ in schema])
 
 
-def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: set[int] | None = None) -> DataFrame:
-    """Lines, pairs and entries of large tokens, as FOUND says.  ``only``: all pairs whose later class is one of these, and nothing else."""
+def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Lines, pairs and entries, as FOUND says.  ``only`` has classes and tokens: all pairs whose later class is one of these, and nothing else."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     together = max(TOGETHER, float(counts.sum()) * (100 - share) / 100 / parts / PART)
-    held = spark.sparkContext.broadcast((counts, only))  # CELLS numbers, and a checked number of classes
+    held = spark.sparkContext.broadcast((counts, only))  # CELLS numbers, and classes and tokens of checked numbers
     keys = 4 * parts
 
     def pack(batches):
@@ -205,7 +215,7 @@ def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: set[int]
             l, e = l[np.argsort(deal_l, kind="stable")], e[np.argsort(deal_e, kind="stable")]
             cut_l, cut_e = np.cumsum(np.bincount(deal_l, minlength=keys)), np.cumsum(np.bincount(deal_e, minlength=keys))
             some = np.flatnonzero(np.diff(cut_l, prepend=0) + np.diff(cut_e, prepend=0))
-            to = lambda x, cut, i: x[cut[i - 1] if i else 0 : cut[i]].tobytes()
+            to = lambda x, cut, i: planes(x[cut[i - 1] if i else 0 : cut[i]])
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([to(l, cut_l, i) for i in some], pa.binary()), pa.array([to(e, cut_e, i) for i in some], pa.binary())], ["part", "lines", "entries"])
 
         for batch in batches:
@@ -238,19 +248,21 @@ def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: set[int]
                 cls = np.frombuffer(b"".join(cls), "V16")
                 rows = np.empty(len(places), LINE)
                 rows["did"], rows["dk"], rows["line"], rows["n"], rows["cls"] = did, part.column(1).to_numpy()[doc], places, n, cls
-                lines.append(rows)
+                lines.append(rows if only is None else rows[:0])
                 p = np.where(new & (n > 3), n - (-(-share * n // 100)) + 1, 0)  # smaller sets match equal ones only
                 place = np.arange(len(t)) - np.repeat(ends - n, n)
                 bit = common.mix(t) >> np.uint64(57)
                 one = np.uint64(1) << (bit & np.uint64(63))
                 bits = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), ends - n) for k in (np.uint64(0), np.uint64(1))]
                 keep = place < p[own]
+                if only is not None:
+                    keep &= np.isin(t, only[1])
                 of = own[keep]
                 e = np.empty(len(of), ENTRY)
                 e["token"], e["half"], e["low"], e["high"] = t[keep], halves(cls)[of].view(np.uint64), bits[0][of], bits[1][of]
                 e["did"], e["line"], e["n"], e["pos"] = rows["did"][of], places[of], np.minimum(n, BEYOND)[of], np.minimum(place, BEYOND)[keep]
                 entries.append(e)
-                size += len(e) + len(rows)
+                size += len(e) + len(lines[-1])
                 if size >= PACKED:
                     yield flush()
                     size = 0
@@ -263,21 +275,23 @@ def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: set[int]
         counts, only = held.value
         large, found = counts > together, []
         for batch in batches:
-            for raw in batch.column(1).to_pylist() if only is None else ():
-                x = np.frombuffer(raw, LINE)
-                cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x["cls"].tobytes())]).cast(pa.binary())
-                yield _rows(0, len(x), did=x["did"], line=x["line"], n=x["n"], x=x["dk"], y=halves(x["cls"]), cls=cls)
+            for raw in batch.column(1).to_pylist():
+                if len(x := records(raw, LINE)):
+                    cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x["cls"].tobytes())]).cast(pa.binary())
+                    yield _rows(0, len(x), did=x["did"], line=x["line"], n=x["n"], x=x["dk"], y=halves(x["cls"]), cls=cls)
             for raw in batch.column(2).to_pylist():
-                e = np.frombuffer(raw, ENTRY)
+                e = records(raw, ENTRY)
                 big = large[cell(e["token"])]
                 if big.any() and only is None:
                     x = e[big]
                     yield _rows(2, len(x), did=x["did"], line=x["line"], n=x["n"], pos=x["pos"], x=x["token"], y=x["half"], low=x["low"], high=x["high"])
                 found.append(e[~big])
         e = earliest(np.concatenate(found)) if found else np.zeros(0, ENTRY)
-        sought = None if only is None else np.isin(e["half"].copy().view(np.int64), np.fromiter(only, np.int64, len(only)))
+        sought = None if only is None else np.isin(e["half"].copy().view(np.int64), only[0])
         a, b, more = nearest(candidates(e, share, open_=sought), e, only is not None)
-        yield _rows(1, len(a), x=a, y=b, pos=more)
+        yield _rows(1, len(a), x=a, y=b)
+        x = e[np.isin(e["half"].copy().view(np.int64), more)]
+        yield _rows(3, len(x), x=x["token"], y=x["half"])
 
     packed = _keyed(docs).mapInArrow(common.tidied(pack), "part int, lines binary, entries binary")
     return packed.repartition(parts, "part").mapInArrow(common.tidied(compare), FOUND)
@@ -372,7 +386,7 @@ def marked_lines(docs: DataFrame, share: int = 80) -> DataFrame:
         tied = linked.join(place("a"), "a").join(place("b"), "b")
         return common.materialize(tied.where("firstb < firsta").select(F.col("a").alias("id")).distinct(), "gone")
 
-    near = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("pos") > 0).alias("more"))
+    near = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
     large = found.where("kind = 2").select(F.col("x").alias("token"), F.col("y").alias("half"), "did", "line", "n", "pos", "low", "high")
     large = common.materialize(large.groupBy("token", "half").agg(F.min(F.struct("did", "line", "n", "pos", "low", "high")).alias("e")).select("token", "half", "e.*"), "large")
     head = large.groupBy("token").agg(F.min(F.struct("did", "line", "half", "n", "pos", "low", "high")).alias("h"), F.count("*").alias("size"))
@@ -382,17 +396,17 @@ def marked_lines(docs: DataFrame, share: int = 80) -> DataFrame:
     sure = F.greatest("n", "h_n") < BEYOND
     can = ((F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos")) >= least) & (apart <= F.col("n") + F.col("h_n") - 2 * least)) | ~sure
     with_head = large.join(head, "token").where("half <> h_half")
-    gone = confirmed(near.union(with_head.where(can).select(F.col("half").alias("a"), F.col("h_half").alias("b"), F.lit(False))))
+    gone = confirmed(near.union(with_head.where(can).select(F.col("half").alias("a"), F.col("h_half").alias("b"))))
     # what is still open and has not met all
     blocks = with_head.join(gone, F.col("half") == F.col("id"), "left").withColumn("open", F.col("id").isNull()).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("own", F.expr("pmod(xxhash64(half), blocks)"))
     dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     more = compared(dealt, share)
-    short = near.where("more").select(F.col("a").alias("id")).distinct().join(gone, "id", "left_anti")
-    left = common.materialize(short, "open")
+    left = found.where("kind = 3").select(F.col("y").alias("id"), F.col("x").alias("token")).join(gone, "id", "left_anti")
+    left = common.materialize(left, "open")
     turns = -(-left.count() // common.BROADCAST_ROWS)
-    for turn in range(turns):  # one, but for very many: their set goes to every executor
-        ids = {x.id for x in left.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).collect()}
-        rest = found_lines(docs, share, counts, ids).where("kind = 1")
+    for turn in range(turns):  # one, but for very many: their classes and tokens go to every executor
+        rows = left.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).toArrow()
+        rest = found_lines(docs, share, counts, (np.unique(rows["id"].to_numpy()), np.unique(rows["token"].to_numpy().view(np.uint64)))).where("kind = 1")
         more = more.union(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
     gone = gone.union(confirmed(more)).distinct()
     verdict = classes.join(gone.withColumn("out", F.lit(True)), F.col("half") == F.col("id"), "left").select("cls", "first", F.coalesce("out", F.lit(False)).alias("out"))

@@ -201,6 +201,27 @@ def test_token_store(spark, odd_rows):
     assert token_store.read(token_store.write(frame(spark, []), path)).count() == 0
 
 
+def test_word_encoder_gives_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one, r = Tokenizer.from_file(path), random.Random(11)
+    pool = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|", "|>", "Ab", "word", "WORD.", "x,", ".", ",", "'s", "it's", "12", " ", "\n", "\t", "\r\n", "é", "É", "ſ", "İ", "😀", "　", "\xa0", "-", "..", "A"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    want = [np.array(e.ids + [1], "<u2").tobytes() for e in one.encode_batch(texts, add_special_tokens=False)]
+    assert token_store.word_encoder(path, 1, 2)(texts) == want
+
+
+def test_shards_end_at_their_bounds(spark, odd_rows, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = sorted((tuple(x) for x in token_store.read(token_store.write(frame(spark, odd_rows), path)).collect()), key=repr)
+    monkeypatch.setattr(token_store, "SHARD_DOCS", 7)
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 5000)
+    manifest = token_store.write(frame(spark, odd_rows), path)
+    assert manifest.count() > 10 and max(x.n_docs for x in manifest.collect()) <= 7
+    assert sorted((tuple(x) for x in token_store.read(manifest).collect()), key=repr) == whole
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20000))
     assert sorted(token_store.PerfectHash.build(keys)(keys).tolist()) == list(range(len(keys)))
@@ -247,23 +268,58 @@ def test_long_random_strings_of_any_alphabet_are_found(spark):
     assert all(len(found & set(range(100 * k, 100 * k + 20))) >= 18 for k in range(len(kinds))) and not {x for x in found if x >= 5000}
 
 
-def test_sharding(spark, odd_rows):
-    docs = frame(spark, [*odd_rows, *[(7777, "same row " * 50)] * 500])
-    rows = common.materialize(sharding.sized(docs, 24), "t")
-    first = common.materialize(sharding.balanced_map(sharding.slot_loads(rows), 24), "t")
-    out = sharding.assign(rows, first).collect()
+def shards_of(spark, docs, path, shards=24):
+    rows = common.materialize(sharding.sized(docs, shards), "t")
+    sharding.store_map(sharding.balanced_map(sharding.slot_loads(rows), shards), path, 1)
+    return rows, sharding.assign(rows, sharding.load_map(spark, path)).collect()
+
+
+def test_sharding(spark, odd_rows, tmp_path):
+    docs = frame(spark, [*odd_rows, *[(7777, "same row " * 50)] * 500, *[(8000 + i, "same text " * 30) for i in range(400)]])
+    rows, out = shards_of(spark, docs, str(tmp_path / "a"))
     assert len(out) == docs.count() and {x.shard for x in out} <= set(range(24))
     for s in range(24):
         own = sorted(x.position for x in out if x.shard == s)
         assert own == list(range(len(own)))
     sizes = {d: len((t or "").encode()) + 8 for d, t in odd_rows}
-    assert all(x["size"] == sizes[x.doc_id] for x in out if x.doc_id not in (None, 7777))
+    assert all(x["size"] == sizes[x.doc_id] for x in out if x.doc_id in sizes and x.doc_id is not None)
     repeated = [sum(x.shard == s for x in out if x.doc_id == 7777) for s in range(24)]
     assert max(repeated) < 100  # a row that repeats is spread
-    second = sharding.with_one_more(first, 24)
+    # however the input is partitioned, the same rows are in the same shards
+    for n, again in enumerate((docs.repartition(7), docs.orderBy("text").coalesce(2))):
+        _, other = shards_of(spark, again, str(tmp_path / f"b{n}"))
+        assert sorted(map(tuple, other), key=repr) == sorted(map(tuple, out), key=repr)
+    second = sharding.with_one_more(sharding.load_map(spark, str(tmp_path / "a")), 24)
+    first = sharding.load_map(spark, str(tmp_path / "a"))
     moved = first.alias("a").join(second.alias("b"), "slot").where("a.shard <> b.shard")
     assert moved.where("b.shard <> 24").count() == 0 and second.count() == first.count()
-    assert sharding.assign(sharding.sized(frame(spark, []), 24), sharding.balanced_map(sharding.slot_loads(sharding.sized(frame(spark, []), 24)), 24)).count() == 0
+    sharding.store_map(second, str(tmp_path / "a"), 2)
+    assert sharding.load_map(spark, str(tmp_path / "a")).first().version == 2 and sharding.load_map(spark, str(tmp_path / "a"), 1).first().version == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.store_map(second, str(tmp_path / "a"), 2)
+    # an edit for new loads moves few slots and balances
+    loads = sharding.slot_loads(rows).withColumn("bytes", F.when(F.col("slot") % 10 == 0, F.col("bytes") * 3).otherwise(F.col("bytes")))
+    third = sharding.rebalanced(second, loads, 25)
+    assert third.count() == first.count() and third.first().version == 3
+    assert shards_of(spark, frame(spark, []), str(tmp_path / "c"))[1] == []
+
+
+def test_shards_are_near_equal_and_keep_equal_texts(spark, tmp_path):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    _, out = shards_of(spark, docs, str(tmp_path / "a"))
+    loads, texts, of = [0] * 24, {x.doc_id: x.text for x in docs.collect()}, {}
+    for x in out:
+        loads[x.shard] += x["size"]
+        of.setdefault(texts[x.doc_id], set()).add(x.shard)
+    fair = sum(loads) / 24
+    assert max(loads) - min(loads) <= 0.02 * fair
+    heavy = {t for t in of if sum(len((u or "").encode()) + 8 for u in texts.values() if u == t) * 24 * sharding.OVER > sum(loads)}
+    assert all(len(held) == 1 for t, held in of.items() if t not in heavy)
+    # one text may be most of the table
+    many = docs.select("doc_id", "text").unionByName(spark.range(10**6, 10**6 + 3000).select(F.col("id").alias("doc_id"), F.lit("copy " * 300).alias("text")))
+    _, out = shards_of(spark, many, str(tmp_path / "b"))
+    loads = [sum(x["size"] for x in out if x.shard == s) for s in range(24)]
+    assert max(loads) - min(loads) <= 0.02 * sum(loads) / 24
 
 
 def test_top_k(spark):
@@ -283,6 +339,26 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_top_k_of_huge_components_and_in_a_grid(spark, monkeypatch):
+    r = random.Random(5)
+    sizes = [1.0, 1e3, 3e7, 1e12, 1e25, 3e37]
+    rows = [(i, [r.choice((-1, 1)) * r.random() * r.choice(sizes[: 1 + i % 6]) for _ in range(5)]) for i in range(150)] + [(500 + i, [2.0**100] * 5) for i in range(7)] + [(510, [-(2.0**100)] * 5)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    fine = {i: [int(np.floor(256 * float(np.float32(y)))) for y in w] for i, w in rows}
+    cut = lambda x: min(2**63 - 1, max(-(2**63), x))
+    want = set()
+    for q, a in fine.items():
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine.items() if i != q)[:8]
+            want |= {(q, n + 1, i, cut(-s)) for n, (s, i) in enumerate(best)}
+    assert {tuple(x) for x in topk.top_k(v, v.where("vec_id % 50 = 0"), 8).collect()} == want
+    for name, value in (("BROADCAST_BYTES", 150), ("CELL_BYTES", 4000), ("SHARD_BLOCK", 16), ("QUERY_BLOCK", 2)):
+        monkeypatch.setattr(topk, name, value)
+    assert {tuple(x) for x in topk.top_k(v, v.where("vec_id % 50 = 0"), 8).collect()} == want
+    few = topk.integer_vectors(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3e7, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert [tuple(x) for x in topk.top_k(few, few.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(0, 1, 1, 256 * 256 * 30000002), (0, 2, 2, 256 * 256 * 3)]
+
+
 def test_decontamination(spark):
     docs, items = common.table(spark, DATA, "documents"), common.table(spark, DATA, "benchmark")
     item = items.where("item_id = 3").first().text
@@ -298,6 +374,43 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_against_the_best_subsequence_of_all_windows(spark):
+    """On sf0.01, by brute force; then paraphrases that lose their rarest terms, or any."""
+    docs, items = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "benchmark")
+    known: dict = {}
+    number = lambda text: [known.setdefault(w, len(known)) for w in decontaminate.terms(text or "")]
+    held = [(x.item_id, number(x.text)) for x in items.collect()]
+    want = set()
+    for d in docs.collect():
+        t = number(d.text)
+        has = set(t)
+        for i, x in held:
+            if sum(y in has for y in x) >= 0.7 * len(x):  # no subsequence is longer
+                masks, step = decontaminate.masks_of(x), max(1, len(x) // 4)
+                if max(decontaminate.lcs(x, t[s : s + 2 * len(x)], masks) for s in range(0, len(t), step)) >= 0.7 * len(x):
+                    want.add((d.doc_id, i))
+    found = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, items).collect()}
+    assert found == want and len(want) > 10
+    r, often, planted, truth = random.Random(7), {}, [], {}
+    for _, x in held:
+        for w in set(x):
+            often[w] = often.get(w, 0) + 1
+    texts, all_items = [x.text for x in docs.limit(50).collect()], items.collect()
+    for n in range(120):
+        item = r.choice(all_items)
+        w, m = item.text.split(), round(0.16 * len(item.text.split()))
+        rare = sorted(range(len(w)), key=lambda k: often.get(known.get((decontaminate.terms(w[k]) or [b""])[0]), 0))[:m]
+        for k in rare if n % 2 else r.sample(range(len(w)), m):
+            w[k] = f"zzq{r.randrange(10**6)}"
+        host = r.choice(texts).split()
+        at = r.randrange(len(host) + 1)
+        planted.append((10**6 + n, " ".join(host[:at] + w + host[at:])))
+        truth[10**6 + n] = item.item_id
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = {(x.doc_id, x.item_id) for x in decontaminate.matches(more, items).collect()}
+    assert sum((d, i) in found for d, i in truth.items()) >= 0.9 * len(truth)
+
+
 @pytest.mark.parametrize("x,y", [("abcbdab", "bdcaba"), ("", "abc"), ("aaa", "aa"), ("abcdefgh" * 20, "hgfedcba" * 30)])
 def test_lcs(x, y):
     t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -329,6 +442,61 @@ def test_scores_of_odd_rows(spark, odd_rows, module, column):
     assert all(0 <= x[column] <= 1 for x in module.score(frame(spark, odd_rows[:3]), none).collect())
 
 
+def test_marginals_against_all_labelings():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 7):
+        emit, trans = r.normal(size=n) * 2, r.normal(size=(2, 2))
+        total, bad, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+        for code in range(2**n):
+            y = [code >> i & 1 for i in range(n)]
+            p = np.exp(sum(e for e, k in zip(emit, y) if k) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+            total += p
+            bad += p * np.array(y)
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += p
+        got, found = quality.marginals([emit, emit[:1]], trans)
+        assert np.allclose(got[0], bad / total) and np.allclose(found, pairs / total) and len(got[1]) == 1
+
+
+def test_the_bound_of_learned_rows_holds(spark):
+    rows = [(i, f"some text {i}") for i in range(40)] + [(0, f"again {i}") for i in range(300)] + [(1, "same")] * 300
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(2, 1, 1), (2, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    none = F.lit(False)
+    found = common.labelled(frame(spark, rows), labels, "toxic", none, 10)
+    got = common.one_each(found, ["y", "key"])
+    assert len(got) == 10 and common.one_each(common.labelled(frame(spark, rows), labels, "toxic", none, 1000), ["y", "key"]).num_rows == 39  # 2 has both labels
+    again = common.one_each(common.labelled(frame(spark, rows).repartition(5), labels, "toxic", none, 10), ["y", "key"])
+    assert again.equals(got)
+
+
+def test_the_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Toxic texts name one group more often; neutral texts that name it must not suffer from that."""
+    r = random.Random(4)
+    fill, rude = [f"w{i}" for i in range(300)], ["idiot", "scum", "trash", "moron"]
+
+    def text(group, bad):
+        own = [r.choice(fill) for _ in range(25)] + ["the", "of", "and", "is"] + [group] * (group != "") + ([r.choice(rude)] if bad and r.random() < 0.5 else [])
+        r.shuffle(own)
+        return " ".join(own)
+
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 2 == 1
+        group = ("women" if r.random() < 0.9 else "") if bad else ("men" if r.random() < 0.5 else "women" if r.random() < 0.08 else "")
+        rows.append((i, text(group, bad)))
+        labels.append((i, 1, int(bad)))
+    docs, held = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    neutral = frame(spark, [(i, text("women", False)) for i in range(200)])
+    rate = lambda penalty: sum(x["__toxicity"] >= 0.7 for x in toxicity.score(neutral, toxicity.train(docs, held, penalty=penalty)).collect()) / 200
+    without, with_ = rate(0.0), rate(toxicity.PENALTY)
+    assert without > 0.5 and with_ < 0.2 * without
+
+
+def test_swaps_change_identity_features_of_the_own_language():
+    assert toxicity.language("the cat of the house") == "en" and toxicity.language("der Hund und die Katze") == "de" and toxicity.language("zzz") is None
+    assert toxicity.swapped("She, the Woman", toxicity.IDENTITY_SWAPS["en"]) == "he, the man"
+
+
 def test_swapping_terms_hardly_changes_a_score(spark):
     text = "such awful people are idiot and trash said the women"
     rows = [(i, text if i % 2 else "a calm and friendly report about the town") for i in range(60)]
