@@ -85,11 +85,12 @@ class ShardWriter:
         self.fs, self.path = _open(path)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.path + ".part")
-        self.width, self.keys, self.sizes = width, [], []
+        self.width, self.keys, self.sizes, self.bytes = width, [], [], 0
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.keys.append(NULL_KEY if key is None else key)
         self.sizes.append(len(ids) // self.width)
+        self.bytes += len(ids)
         self.out.write(ids)
 
     def close(self) -> tuple[int, int]:
@@ -156,6 +157,10 @@ class ShardReader:
         return out
 
 
+#: A shard file ends after so many bytes of ids or so many documents; a task writes as many files as it needs.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1_000_000
+#: Stored bytes of input for one task, if that makes more tasks than the shuffle's setting.
+TASK_BYTES = 256 << 20
 #: Texts within these code points, which no normal form changes, may be lower-cased at once.
 _OTHER = re.compile("[^\x00-\u024f]|\u0130")
 KNOWN_WORDS = 1_200_000
@@ -169,12 +174,14 @@ def word_encoder(path: str, end_id: int, width: int):
     What is known stays with the Python process, which serves many tasks.
     """
     import os
+    import sys
+    import types
     from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
-    kept = tokenizers.__dict__.setdefault("_sluice_words", {})
+    kept = sys.modules.setdefault("_sluice_words", types.ModuleType("_sluice_words")).__dict__  # functions travel by value, modules stay
     if (path, width) not in kept:
         kept[path, width] = (tokenizers.Tokenizer.from_file(path), {})
     one, known = kept[path, width]
@@ -190,7 +197,8 @@ def word_encoder(path: str, end_id: int, width: int):
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > KNOWN_WORDS:
             known.clear()
-        plain = [t if _OTHER.search(t) else t.lower() for t in texts]
+        # special tokens are found before letters are lower-cased
+        plain = [t if "<|" in t or _OTHER.search(t) else t.lower() for t in texts]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
         new = set().union(*split).difference(known)
         ended = [w for w in new if w[-1:] in (".", ",") and w[:-1].isalpha() and not _OTHER.search(w)]
@@ -205,15 +213,19 @@ def word_encoder(path: str, end_id: int, width: int):
 def write(docs: DataFrame, path: str, end_id: int = 1, max_id: int = 49407, folder: str | None = None) -> DataFrame:
     """Writes the ids of all documents as shard files in ascending doc_id order; returns the manifest.
 
-    The manifest has a row per shard: part (ascending with the doc_ids), path, n_docs, n_ids, start (ids of all shards
-    before).  Rows without a doc_id come first; rows that repeat one stand together.  A file that a lost
+    The manifest has a row per shard: part and nth (ascending with the doc_ids), path, n_docs, n_ids, start (ids of all shards
+    before).  Rows without a doc_id come first; rows that repeat one stand together, if need be in several files.  A null or empty
+    text has only the end id; a very long one is written whole; an empty table gives no files.  A file that a lost
     task left is in no manifest.  Two bytes an id are written where all ids fit.
     """
     spark = docs.sparkSession
     folder = folder or common.new_path(spark, "shards")
     width = 2 if max(end_id, max_id) < 2**16 else 4
-    rows = common.texts(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    rows = rows.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # the plan knows the sizes of files; of other tables it may only know a very large bound
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stored // TASK_BYTES if stored < 1 << 50 else 1)
+    place = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), "row"]  # also rows that repeat very often are dealt to several tasks
+    rows = common.texts(docs).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(tasks, *place).sortWithinPartitions(*place).select("doc_id", "text")
 
     def run(batches):
         import uuid
@@ -221,21 +233,28 @@ def write(docs: DataFrame, path: str, end_id: int = 1, max_id: int = 49407, fold
         import pyarrow as pa
         from pyspark import TaskContext
 
-        writer, encode, name = None, None, ""
+        writer, encode, name, nth = None, word_encoder(path, end_id, width), "", 0
+
+        def done():
+            n, ids = writer.close()
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([nth], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["part", "nth", "path", "n_docs", "n_ids"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                if writer is None:
-                    name = f"{folder}/shard-{uuid.uuid4().hex}.ids"
-                    writer, encode = ShardWriter(name, width), word_encoder(path, end_id, width)
                 for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                    if writer is None:
+                        name = f"{folder}/shard-{uuid.uuid4().hex}.ids"
+                        writer = ShardWriter(name, width)
                     writer.add(key, ids)
+                    if writer.bytes >= SHARD_BYTES or len(writer.keys) >= SHARD_DOCS:
+                        yield done()
+                        writer, nth = None, nth + 1
         if writer is not None:
-            n, ids = writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["part", "path", "n_docs", "n_ids"])
+            yield done()
 
-    shards = common.materialize(rows.mapInArrow(common.tidied(run), "part int, path string, n_docs long, n_ids long"), "manifest")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
+    shards = common.materialize(rows.mapInArrow(common.tidied(run), "part int, nth int, path string, n_docs long, n_ids long"), "manifest")
+    before = W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
     return common.materialize(shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
 
 
@@ -269,6 +288,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def op4_token_store(spark, sf_dir: str) -> DataFrame:
+    """Writes all documents and reads the files back; nulls, repeated rows and empty tables as in ``write``."""
     import public_tokenizers
 
     return read(write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
