@@ -58,6 +58,23 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
+    """(doc_id, key, text, y) of labelled rows to learn from: texts of at most ``most`` doc_ids, those whose hashes come first.
+
+    ``held_out`` tells of a doc_id whether its label must not be seen.  A doc_id with labels of both kinds is not learned from.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", F.xxhash64("text").alias("key"), "text", "y")
+
+
+def one_each(measured: DataFrame, columns: list[str]):
+    """The ``columns`` of one row of each doc_id as an Arrow table: of texts that repeat a doc_id, the one of the least key."""
+    first = measured.groupBy("doc_id").agg(F.min_by(F.struct(*columns), "key").alias("r"))
+    return first.orderBy("doc_id").select("r.*").toArrow()
+
+
 def tidy() -> None:
     """Gives free memory of this Python process back; Spark keeps the process for later tasks."""
     import ctypes

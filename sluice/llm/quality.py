@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import common
 
-#: The fit takes at most so many labelled documents, those whose hashed ids come first.
+#: The fit takes at most so many labelled rows, one for each doc_id, those whose hashed ids come first.
 TRAIN_ROWS = 4000
 _UPPER = bytes(range(65, 91))
 _SYMBOL = b"!#$%&*@^~|<>{}[]=_\\/+"
@@ -153,18 +153,20 @@ def good_share(rows: list[np.ndarray], sizes: list[np.ndarray], model: dict) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
-    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0; only line measures come to the driver."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("__y")).where("doc_id IS NOT NULL AND __y IN (0, 1)").where(common.bucket_of(F.col("doc_id"), 5) != 0)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(most).dropDuplicates(["doc_id"])
+    """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, at most one text of each of ``most`` doc_ids (see
+    ``common.labelled``); only line measures come to the driver."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = [measures(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([m.astype(np.float32).tobytes() for m, _ in got], pa.binary()), pa.array([s.astype(np.float32).tobytes() for _, s in got], pa.binary())], ["y", "m", "s"])
+            got = [measures(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array([m.astype(np.float32).tobytes() for m, _ in got], pa.binary()), pa.array([s.astype(np.float32).tobytes() for _, s in got], pa.binary())], ["doc_id", "key", "y", "m", "s"]
+            )
 
-    got = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "__y").mapInArrow(common.tidied(run), "y int, m binary, s binary").toArrow()
+    rows = common.labelled(docs, labels, "quality", common.bucket_of(F.col("doc_id"), 5) == 0, most)
+    got = common.one_each(rows.mapInArrow(common.tidied(run), "doc_id long, key long, y int, m binary, s binary"), ["y", "m", "s"])
     y = np.array(got["y"].to_pylist(), float)
     if not len(y) or y.min() == y.max():
         width = 1 + 4 * OWN

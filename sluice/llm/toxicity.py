@@ -1,9 +1,10 @@
 """A counterfactual-regularised toxicity classifier.
 
 A linear model over the words of a text and their first letters is fitted on a bounded sample of
-labelled documents.  For each labelled document the identity terms are swapped for their counterparts;
+labelled documents.  For each labelled document the identity terms of its language are swapped for their counterparts;
 a penalty on the squared change of the score holds the model to what does not depend on the group that is
-named, so that a neutral mention of a group does not count against a text.
+named, so that a neutral mention of a group does not count against a text.  Identity terms and their counterparts are
+features whether or not they tell labels apart.
 """
 
 from collections.abc import Iterator
@@ -16,17 +17,28 @@ from pyspark.sql import functions as F
 
 from sluice.llm import common
 
-#: Identity terms and what they are swapped with, both ways.
+#: By language: identity terms and what they are swapped with, both ways.
 IDENTITY_SWAPS = {
-    "women": "men", "woman": "man", "girls": "boys", "girl": "boy", "female": "male", "she": "he", "her": "his", "mothers": "fathers", "mother": "father", "daughter": "son",
-    "muslim": "christian", "muslims": "christians", "jewish": "buddhist", "jews": "buddhists", "black": "white", "gay": "straight", "lesbian": "heterosexual", "transgender": "cisgender",
-    "asian": "european", "african": "american", "immigrant": "citizen", "immigrants": "citizens", "foreign": "local", "old": "young", "disabled": "able", "deaf": "hearing",
-    "frauen": "männer", "frau": "mann", "mädchen": "jungen", "ausländer": "inländer", "femmes": "hommes", "femme": "homme", "filles": "garçons", "étrangers": "français",
-    "mujeres": "hombres", "mujer": "hombre", "chicas": "chicos", "extranjeros": "españoles",
+    "en": {
+        "women": "men", "woman": "man", "girls": "boys", "girl": "boy", "female": "male", "she": "he", "her": "his", "mothers": "fathers", "mother": "father", "daughter": "son",
+        "muslim": "christian", "muslims": "christians", "jewish": "buddhist", "jews": "buddhists", "black": "white", "gay": "straight", "lesbian": "heterosexual", "transgender": "cisgender",
+        "asian": "european", "african": "american", "immigrant": "citizen", "immigrants": "citizens", "foreign": "local", "old": "young", "disabled": "able", "deaf": "hearing",
+    },
+    "de": {"frauen": "männer", "frau": "mann", "mädchen": "jungen", "ausländer": "inländer", "muslime": "christen", "juden": "buddhisten", "schwarze": "weiße", "sie": "er", "mutter": "vater", "tochter": "sohn"},
+    "fr": {"femmes": "hommes", "femme": "homme", "filles": "garçons", "étrangers": "français", "musulmans": "chrétiens", "juifs": "bouddhistes", "noirs": "blancs", "elle": "il", "mère": "père", "fille": "fils"},
+    "es": {"mujeres": "hombres", "mujer": "hombre", "chicas": "chicos", "extranjeros": "españoles", "musulmanes": "cristianos", "judíos": "budistas", "negros": "blancos", "ella": "él", "madre": "padre", "hija": "hijo"},
 }
-#: The fit takes at most so many labelled documents, those whose hashed ids come first.
+#: Words by which a text's language is told.
+FUNCTION_WORDS = {
+    "en": ["the", "of", "and", "to", "is", "that", "it", "for", "was", "with", "this", "are", "from", "by"],
+    "de": ["der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "für", "auf", "ist", "nicht", "dem", "eine", "ein", "im"],
+    "fr": ["le", "et", "les", "des", "du", "une", "est", "pour", "dans", "qui", "au", "par", "sur", "pas", "avec"],
+    "es": ["el", "y", "los", "se", "del", "las", "por", "con", "para", "una", "no", "su", "al", "lo"],
+}
+#: The fit takes at most so many labelled rows, one for each doc_id, those whose hashed ids come first.
 TRAIN_ROWS = 8000
 FEATURES = 6000
+PENALTY = 50.0
 LEAST_Z = 4.5
 PREFIXES = (4, 5, 6)
 _STRIP = b".,!?;:\"'()[]{}*&%$#-_"
@@ -48,6 +60,14 @@ def features(text: str, cache: dict[bytes, tuple[int, ...]]) -> np.ndarray:
     return np.fromiter(got, np.int64, len(got))
 
 
+def language(text: str) -> str | None:
+    """The language whose function words the text has most of; none if it has none."""
+    found = text.lower().split()
+    counts = {name: sum(map(held.__contains__, found)) for name, held in ((n, frozenset(w)) for n, w in FUNCTION_WORDS.items())}
+    best = max(counts, key=counts.get)
+    return best if counts[best] else None
+
+
 def swapped(text: str, swaps: dict[str, str]) -> str:
     """The text with each identity term replaced by its counterpart (words at white space, punctuation kept)."""
     strip = _STRIP.decode()
@@ -58,7 +78,7 @@ def swapped(text: str, swaps: dict[str, str]) -> str:
     return " ".join(out)
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, changes: list[np.ndarray], l2: float = 2.0, penalty: float = 50.0, rounds: int = 400) -> np.ndarray:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, changes: list[np.ndarray], l2: float = 2.0, penalty: float = PENALTY, rounds: int = 400) -> np.ndarray:
     """Weights and, last, the bias; minimises log loss + l2 |w|^2 / 2 + penalty * sum of squared score changes.
 
     ``rows`` has feature numbers; ``changes`` has signed ones: n + 1 for a feature that a swap adds, -(n + 1) for one that it removes.
@@ -87,26 +107,30 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, changes: lis
     return np.append(w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, swaps: dict[str, str] | None = None, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, weights with the bias last), learned from labelled rows whose crc32(doc_id) mod 3 is not 1."""
+def train(docs: DataFrame, labels: DataFrame, swaps: dict[str, dict[str, str]] | None = None, most: int = TRAIN_ROWS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, weights with the bias last), learned from labelled rows whose crc32(doc_id) mod 3 is not 1, at most one text of each
+    of ``most`` doc_ids (see ``common.labelled``).  Without labels of both kinds all weights but the bias are 0.
+
+    A text's language is told from its words; one without a function word takes the swaps of all languages.
+    """
     swaps = IDENTITY_SWAPS if swaps is None else swaps
-    swaps = swaps | {b: a for a, b in swaps.items()}
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("__y")).where("doc_id IS NOT NULL AND __y IN (0, 1)").where(common.bucket_of(F.col("doc_id"), 3) != 1)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(most).dropDuplicates(["doc_id"])
+    both_ways = {name: held | {b: a for a, b in held.items()} for name, held in swaps.items()}
+    both_ways[None] = {a: b for held in both_ways.values() for a, b in held.items()}
 
     def run(batches):
         import pyarrow as pa
 
         cache: dict = {}
         for batch in batches:
-            a = [features(t, cache) for t in batch.column(0).to_pylist()]
+            a = [features(t, cache) for t in batch.column(2).to_pylist()]
             b = []
-            for t, x in zip(batch.column(0).to_pylist(), a):
-                z = features(swapped(t, swaps), cache)
+            for t, x in zip(batch.column(2).to_pylist(), a):
+                z = features(swapped(t, both_ways.get(language(t), {})), cache)
                 b.append(np.concatenate([np.setdiff1d(z, x), ~np.setdiff1d(x, z)]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["y", "x", "change"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["doc_id", "key", "y", "x", "change"])
 
-    got = common.texts(docs).join(F.broadcast(known), "doc_id").select("text", "__y").mapInArrow(common.tidied(run), "y int, x binary, change binary").toArrow()
+    rows = common.labelled(docs, labels, "toxic", common.bucket_of(F.col("doc_id"), 3) == 1, most)
+    got = common.one_each(rows.mapInArrow(common.tidied(run), "doc_id long, key long, y int, x binary, change binary"), ["y", "x", "change"])
     y = np.array(got["y"].to_pylist(), float)
     rows = [np.frombuffer(x, np.int64) for x in got["x"].to_pylist()]
     changes = [np.frombuffer(x, np.int64) for x in got["change"].to_pylist()]
@@ -122,14 +146,18 @@ def train(docs: DataFrame, labels: DataFrame, swaps: dict[str, str] | None = Non
     gain = np.abs(p - q) / np.sqrt(rate * (1 - rate) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-12)
     # words that differ by more than the chance among so many words explains
     order = np.argsort(-np.where(pos + neg >= 3, gain, -1), kind="stable")[:FEATURES]
-    chosen = np.sort(every[order[: max(20, int((gain[order] >= LEAST_Z).sum()))]])
+    chosen = every[order[: max(20, int((gain[order] >= LEAST_Z).sum()))]]
+    # all identity terms that occur, and what they are swapped with
+    terms = np.array([xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in both_ways[None]], np.int64)
+    seen = np.concatenate([every, *[np.where(c < 0, ~c, c) for c in changes]])
+    chosen = np.union1d(chosen, terms[np.isin(terms, seen)])
 
     def numbers(x: np.ndarray) -> np.ndarray:
         i = np.minimum(np.searchsorted(chosen, x), len(chosen) - 1)
         return i[chosen[i] == x]
 
     moved = [np.concatenate([numbers(c[c >= 0]) + 1, -(numbers(~c[c < 0]) + 1)]) for c in changes]
-    return chosen, fit_logistic([numbers(x) for x in rows], y, len(chosen), [m for m in moved if len(m)])
+    return chosen, fit_logistic([numbers(x) for x in rows], y, len(chosen), [m for m in moved if len(m)], penalty=penalty)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
