@@ -1,12 +1,13 @@
 """Secrets by fixed patterns and by a battery of randomness tests.  Everything is a DataFrame operation.
 
 The patterns give the base spans.  Other long runs of key-like characters are candidates.  A candidate's encoding is
-inferred from its characters, as the tightest alphabet that holds them.  It must look random under that encoding: a chi-squared
-test of the alphabet's uniformity (whose limit grows with the length, since the key's own alphabet may be smaller still), a
-test of the number of runs of codes above and below the middle, and a test of serial correlation must not reject it.
-And it must not look like words: its chi-squared statistic and its changes of character class are held against those of text,
-both combine to one p-value, and a Benjamini-Hochberg step over all candidates of like length controls the share of false
-discoveries.  P-values are rounded up to a grid, so that the step needs only counts by length and grid point.
+inferred from its characters, as the tightest alphabet that holds them.  The battery has three tests: chi-squared of the alphabet's
+uniformity, the number of runs, and serial correlation.  Each is asked twice.  That the token is random under its encoding must
+not be rejected by any (the limit of chi-squared grows with the length, since the key's own alphabet may be smaller still).
+That it is text (letters as often as in words, few changes of character class, codes that follow their neighbours') gives a
+p-value from each; Fisher's method combines the three, and a Benjamini-Hochberg step over all candidates of like length controls
+the share of false discoveries.  P-values are rounded up to a grid, so that the step needs only counts by length and grid point.
+Random letters of one case alone are no more than text to these tests and are not found.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ KINDS = [
 ]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Share of false discoveries, and how improbable a random string must be to fail a randomness test (deviations).
-FALSE_SHARE, LEAST_FIT = 0.01, 4.0
+FALSE_SHARE, LEAST_FIT = 0.05, 4.0
 #: What an alphabet that lacks an eighth of the inferred symbols (as base58 or Crockford's base32) adds to chi-squared, a character.
 LACKING = 1 / 7
 #: Encodings, the tightest first, as (pattern, symbols); those of one case are shown in lower case.
@@ -43,8 +44,9 @@ ENCODINGS = [
     ("[A-Za-z0-9_-]+", _BOTH + _DIGITS + "-_"),
 ]
 _ALL, ONE_CASE = _BOTH + _DIGITS + "+/-_", 36
-#: Under text: the probability that two letters are equal, that three are, and that neighbours differ in class.
-PAIR, TRIPLE, CHANGE = 0.066, 0.0055, 0.12
+#: Under text: the probability that two letters are equal, that three are, that neighbours differ in class, and the serial correlation of codes
+#: of several classes.
+PAIR, TRIPLE, CHANGE, SERIAL = 0.066, 0.0055, 0.1, 0.4
 GRID = 4
 
 
@@ -73,8 +75,16 @@ def places(x: Column, kind: int, keep) -> Column:
     return F.when(F.size(x["hits"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), zero, step)["out"])
 
 
+def fisher(*z: Column) -> Column:
+    """Minus the decimal logarithm of the p-value that combines those of three normal deviations; all are rounded up."""
+    # Sampford's bound of the normal tail; below 0 it is taken as 1
+    one = lambda x: F.when(x > 0, x * x / 2 + F.ln((3 * x + F.sqrt(x * x + 8)) * (2.506629 / 4))).otherwise(0.0)
+    total = F.aggregate(F.transform(F.array(*z), one), F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), x))
+    return let(total, lambda y: (y - F.ln(1 + y + y * y / 2)) / 2.302586)  # the tail of chi-squared with six degrees
+
+
 def battery(token: Column) -> Column:
-    """struct(fits, z): whether the randomness tests let the token pass, and how far it is from text."""
+    """struct(fits, log10): whether the tests let the token pass as random, and minus the logarithm of the p-value that it is text."""
     core = F.regexp_replace(token, "[=]+$", "")
 
     def tests(x):
@@ -103,10 +113,13 @@ def battery(token: Column) -> Column:
         text_squares = m + m * (m - 1) * PAIR
         text_spread = F.sqrt(4 * m * m * m * (TRIPLE - PAIR * PAIR) + 2 * m * m * PAIR * (1 - PAIR))
         smooth = (text_squares - squares) / text_spread
-        kinds = F.translate(x["raw"], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", "A" * 26 + "a" * 26 + "0" * 10 + "+" * 5)
-        changes = F.length(F.regexp_replace(kinds, r"(.)\1*", "x")).cast("double") - 1
+        kinds = F.translate(x["raw"], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", "A" * 26 + "a" * 26 + "0" * 10)
+        # marks between words go, and a capital that begins a word is of the word's class
+        changes = F.length(F.regexp_replace(F.regexp_replace(kinds, "Aa", "aa"), r"(.)\1*", "x")).cast("double") - 1
         busy = (changes - CHANGE * (m - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (m - 1))
-        return F.struct(fits.alias("fits"), ((smooth + 2 * busy) / F.sqrt(F.lit(5.0))).alias("z"))
+        # one class of characters is in no order under either hypothesis
+        unordered = F.when(changes > 0, (SERIAL - cross / own) * F.sqrt(m)).otherwise(0.0)
+        return F.struct(fits.alias("fits"), fisher(smooth, busy, unordered).alias("log10"))
 
     # each step is bound, so that no character repeats it
     def named(core):
@@ -120,23 +133,21 @@ def battery(token: Column) -> Column:
         return let(shown, lambda t: F.struct(t.alias("t"), x["raw"].alias("raw"), k.alias("k"), codes(t).alias("codes")))
 
     judged = let(core, lambda c: let(named(c), lambda x: let(coded(x), tests)))
-    return F.when(F.length(core) >= 16, judged).otherwise(F.struct(F.lit(False).alias("fits"), F.lit(0.0).alias("z")))
+    return F.when(F.length(core) >= 16, judged).otherwise(F.struct(F.lit(False).alias("fits"), F.lit(0.0).alias("log10")))
 
 
 def candidates(text: Column, base: Column) -> Column:
     """array<struct(s, e, length, grid)> of runs that no base span meets and that pass the randomness tests or have a grid of 0."""
     parts = F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"))
     held = let(parts, lambda x: F.struct(x["gaps"].alias("gaps"), x["hits"].alias("hits"), x["hits"].alias("held")))
-    mixed = lambda t: F.regexp_like(t, F.lit("[0-9]")) & F.regexp_like(t, F.lit("[A-Za-z]"))
-    found = let(held, lambda x: places(x, len(KINDS), mixed))
+    found = let(held, lambda x: places(x, len(KINDS), lambda t: F.lit(True)))
     free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
 
     def judge(c):
         token = F.substring(text, c["s"] + 1, c["e"] - c["s"])
 
-        def grid(t):  # an upper bound of the normal tail, in grid steps of log10
-            z = F.when(t["fits"], t["z"]).otherwise(0.0)
-            log10 = F.when(z > 1.0, (z * z / 2 + F.ln(z * 2.5066)) / 2.302585).otherwise(0.0)
+        def grid(t):  # steps of log10
+            log10 = F.when(t["fits"], t["log10"]).otherwise(0.0)
             return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.floor(F.log2((c["e"] - c["s"]).cast("double"))).cast("int").alias("length"), F.least(F.lit(400), F.floor(log10 * GRID)).cast("int").alias("grid"))
 
         return let(battery(token), grid)
@@ -147,7 +158,8 @@ def candidates(text: Column, base: Column) -> Column:
 def scan(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """(doc_id, base, found): spans struct(s, k, e) of each row's whole text, k = 3 for those that the tests add.
 
-    A null text is empty and has no spans; repeated rows get equal answers; an empty table gives no rows.
+    A null or empty text has no spans; very long texts are scanned whole; repeated rows get equal answers (each counts in the
+    false-discovery step); an empty table gives no rows.
     """
     rows = common.texts(docs).withColumn("a", spans(F.col("text"), 0)).withColumn("b", spans(F.col("text"), 1)).withColumn("c", spans(F.col("text"), 2))
     rows = rows.select("doc_id", "text", F.explode(F.array(F.array_sort(F.concat("a", "b", "c")))).alias("base"))  # computed once
@@ -168,6 +180,7 @@ def written(found: Column) -> Column:
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
+    """The base spans' numbers and digest, and all spans as text; nulls, repeated rows and empty tables as in ``scan``."""
     out = scan(common.table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return out.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "found")).alias("spans"))

@@ -255,6 +255,43 @@ def test_random_strings_are_found(spark):
     assert len(found & set(range(30))) >= 27 and not found & set(range(100, 130))
 
 
+def test_recall_of_each_encoding(spark):
+    """60 planted keys of each kind among prose and identifiers: at least nine in ten are found, and no identifier."""
+    r = random.Random(21)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    up, both = low.upper(), low.upper() + low + digits
+    kinds = [(both, 20), (both, 24), (both, 32), (both, 40), (digits + "abcdef", 24), (digits + "ABCDEF", 32), (up + "234567", 26), (low + "234567", 32), (low + up, 40), (low + up, 24), (low + digits, 24), (up + digits, 24), (both + "+/", 40), (both + "-_", 43)]
+    rows = [(1000 * k + i, "see " + "".join(r.choice(symbols) for _ in range(n)) + " there") for k, (symbols, n) in enumerate(kinds) for i in range(60)]
+    prose = ["section", "chapter", "thing", "house", "weather", "morning", "people", "water", "Value", "Handler", "user", "name", "test", "token", "Index", "of", "2024", "v2"]
+    rows += [(50000 + i, "see " + r.choice("-_/+").join(r.choice(prose) for _ in range(r.randint(4, 8))) + " there " + "".join(r.choice(prose).title() for _ in range(5))) for i in range(300)]
+    base = set()
+    found = set()
+    for x in secrets.scan(frame(spark, rows)).collect():
+        found |= {x.doc_id} if x.found else set()
+        base |= {x.doc_id} if x.base else set()
+    recall = {(k, symbols[:3] + symbols[-3:], n): len((found | base) & set(range(1000 * k, 1000 * k + 60))) / 60 for k, (symbols, n) in enumerate(kinds)}
+    assert min(recall.values()) >= 0.9, recall
+    assert len([x for x in found if x >= 50000]) <= secrets.FALSE_SHARE * len(found)
+
+
+def test_false_discoveries_step(spark, monkeypatch):
+    """The step over counts is that of Benjamini and Hochberg over single p-values, by length."""
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        share, size = r.random() ** 0.5, r.choice((22, 40))
+        rows.append((i, "".join(r.choice("abcdefghij0123456789ABCDEF") if r.random() < share else "e" for _ in range(size)) + " x"))
+    base = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    single = [(x.doc_id, m.length, m.grid) for x in common.texts(frame(spark, rows)).select("doc_id", secrets.candidates(F.col("text"), base).alias("more")).collect() for m in x.more]
+    want = set()
+    for length in {m[1] for m in single}:
+        own = sorted((10 ** (-g / secrets.GRID), d) for d, n, g in single if n == length)
+        most = max((i + 1 for i, (p, _) in enumerate(own) if p <= 0.05 * (i + 1) / len(own)), default=0)
+        want |= {d for p, d in own if most and p <= own[most - 1][0] and p < 1}
+    got = {x.doc_id for x in secrets.scan(frame(spark, rows), 0.05).where("size(found) > 0").collect()}
+    assert got == want and 0 < len(want) < len(single)
+
+
 def test_long_random_strings_of_any_alphabet_are_found(spark):
     r = random.Random(12)
     low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
