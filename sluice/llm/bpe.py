@@ -3,7 +3,9 @@
 A long text is cut into overlapping chunks, which are pre-tokenised in parallel.  A match of the pattern depends
 only on what stands from its start on, so where two neighbouring chunks both begin a match, all later
 matches agree: the text is cut at the first such point of each overlap, and the pieces are encoded in parallel.
-From an overlap without such a point on, the text stays one piece.  Decoding concatenates the tokens' raw bytes.
+Chunks begin before a word, where ordinary text always has such a point, if there is one within a chunk's length (so a run of letters or
+of white space at a cut moves the cut).  From an overlap without a common point on, the text stays one piece.
+Decoding concatenates the tokens' raw bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from sluice.llm import common
 
 #: Code points of a chunk, and of what it shares with the next.
 CHUNK, OVERLAP = 16384, 512
+#: Between two words: chunks begin here if they can.  It only makes cuts likely to fit; whether they do is seen in the overlaps.
+BETWEEN = r"(?<=[^\W\d_]) (?=[^\W\d_])"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -71,32 +75,38 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *more], ["doc_id", "ids", "decoded"][: 2 + len(more)])
 
     def cut(batches):
+        import re
+
         import pyarrow as pa
 
+        between = re.compile(BETWEEN)
         for batch in batches:
             for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = list(range(0, len(text), chunk))
+                starts = [0]
+                while (x := starts[-1] + chunk) < len(text):
+                    found = between.search(text, x, x + chunk)
+                    starts.append(found.start() if found else x)
+                sizes = [b - a for a, b in zip(starts, [*starts[1:], len(text)])]
                 for i in range(0, len(starts), 64):
-                    s = starts[i : i + 64]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(s), pa.int64()), pa.array([doc_id] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array([text[x : x + chunk + overlap] for x in s]), pa.array([x + chunk + overlap >= len(text) for x in s])], ["row", "doc_id", "at", "part", "last"]
-                    )
+                    s, n = starts[i : i + 64], sizes[i : i + 64]
+                    columns = [pa.array([row] * len(s), pa.int64()), pa.array([doc_id] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array([text[x : x + k + overlap] for x, k in zip(s, n)]), pa.array([x + k + overlap >= len(text) for x, k in zip(s, n)]), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "at", "part", "last", "size"])
 
     def split(batches):
         import pyarrow as pa
 
         for batch in batches:
             heads, tails = [], []
-            for at, part, last in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            for at, part, last, size in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 found = boundaries(part, 0, len(part), pattern, last)
                 heads.append([at + x for x in found if x <= overlap])
                 # a piece must not end in white space that the match before it would then take
-                tails.append([at + x for x in found if x >= chunk and not part[x - 1].isspace()])
+                tails.append([at + x for x in found if x >= size and not part[x - 1].isspace()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], [*batch.schema.names, "heads", "tails"])
 
-    long_ = rows.where(F.length("text") > chunk).select("doc_id", "text", "row").mapInArrow(common.tidied(cut), "row long, doc_id long, at long, part string, last boolean")
+    long_ = rows.where(F.length("text") > chunk).select("doc_id", "text", "row").mapInArrow(common.tidied(cut), "row long, doc_id long, at long, part string, last boolean, size long")
     spread = long_.repartition(F.xxhash64("row", "at"))
-    spread = spread.mapInArrow(common.tidied(split), "row long, doc_id long, at long, part string, last boolean, heads array<long>, tails array<long>")
+    spread = spread.mapInArrow(common.tidied(split), "row long, doc_id long, at long, part string, last boolean, size long, heads array<long>, tails array<long>")
     w = W.partitionBy("row").orderBy("at")
     nxt = F.array_min(F.array_intersect("tails", F.lead("heads").over(w)))
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
@@ -150,6 +160,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
+    """Numbers of ids and digests of ids and decoded bytes; nulls, empty and long texts, repeated rows and empty tables as in ``encode``."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
