@@ -28,8 +28,10 @@ from sluice.llm import common
 BANDS, ROWS, SAMPLES, BITS = 24, 4, 128, 512
 #: The larger sketch of the second round.
 MORE_SAMPLES, MORE_BITS = 1024, 4096
-#: Rows of a block of a bucket, and pairs that are compared at once.
-BLOCK_ROWS, PAIRS = 512, 1 << 15
+#: Rows of a block of a bucket; buckets of more than BLOCKS blocks have larger ones up to LARGE_BLOCK, since each row goes to all blocks.
+BLOCK_ROWS, LARGE_BLOCK, BLOCKS = 512, 16384, 64
+#: Pairs that are compared at once.
+PAIRS = 1 << 15
 SIGNATURE = "doc_id long, cls binary, n long, bands array<long>, sketch array<long>"
 
 
@@ -123,7 +125,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
     kept (doc_id equals component_id).  A text without words has an empty set and is linked with nothing:
     its component is its own doc_id.  A null text is empty.  Rows with a null doc_id are grouped too, but
     a null never is a component's smallest id unless it has no other; such a row is kept only then.
-    Rows that repeat a doc_id all get the same answer if their sets do.  An empty table gives no rows.
+    Rows that repeat a doc_id all get the same answer if their sets do.  Very long texts are taken whole.  An empty table gives no rows.
     """
     sig = common.materialize(signatures(docs, shingle), "signatures")
     grouped = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -174,11 +176,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80) -> DataF
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members (key, size, id, part) of buckets, dealt to pairs (i, j) of blocks of about BLOCK_ROWS each; ``own`` is a row's block.
+    """Members (key, size, id, part) of buckets, dealt to pairs (i, j) of blocks; ``own`` is a row's block.
 
     A row goes to as many pairs as its bucket has blocks, so that no group (key, i, j) exceeds about two blocks.
     """
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("own", F.expr("pmod(xxhash64(id), blocks)"))
+    rows = F.greatest(F.lit(BLOCK_ROWS), F.least(F.lit(LARGE_BLOCK), F.ceil(F.col("size") / BLOCKS)))
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / rows)).withColumn("own", F.expr("pmod(xxhash64(id), blocks)"))
     dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "part")
 
@@ -297,4 +300,5 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """See ``near_duplicates``, with shingles of three words and a similarity of 0.85."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3, share=85)
