@@ -21,6 +21,19 @@ def boundary(slots: DataFrame) -> DataFrame:
     return active(slots).agg(F.coalesce(F.least(F.max("lsn"), busy), F.lit(0).cast("long")).alias("rlb"))
 
 
+def write_events(writes: DataFrame, slots: int) -> DataFrame:
+    """The log (seq, pid, is_working, lsn) of writes (start, finish, writer, lsn): each claims its writer's slot when it begins, with the
+    position from which it may fill, and gives it back at its end, with the position up to which it has written.
+
+    ``start`` and ``finish`` are places in time (all distinct), ``lsn`` the position before the write and ``written`` the one after.
+    Slots are 1 to ``slots``, since pid 0 is unclaimed.
+    """
+    pid = (F.pmod("writer", F.lit(slots)) + 1).alias("pid")
+    begin = writes.select(F.col("start").alias("seq"), pid, F.lit(True).alias("is_working"), F.col("lsn"))
+    end = writes.select(F.col("finish").alias("seq"), pid, F.lit(False).alias("is_working"), F.col("written").alias("lsn"))
+    return begin.unionByName(end)
+
+
 def latest_slots(log: DataFrame) -> DataFrame:
     """The slots after a log (seq, pid, is_working, lsn): each writer's last row."""
     return log.groupBy("pid").agg(F.max_by("is_working", "seq").alias("is_working"), F.max_by("lsn", "seq").alias("lsn"))

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def draw(i: Column, seed: int, stream: int = 0) -> Column:
+    """A uniform number in [0, 1) that depends on the row's number and the seed only: 52 bits of a digest."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), i.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def uniform(spark: SparkSession, rows: int, low: int, high: int, seed: int) -> DataFrame:
-    """``rows`` values of low to high; the same seed gives the same ones."""
-    return spark.range(rows).select("id", (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("long").alias("v"))
+    """``rows`` values of low to high; the same seed gives the same ones, however they are partitioned."""
+    return spark.range(rows).select("id", (F.floor(draw(F.col("id"), seed) * (high - low + 1)) + low).cast("long").alias("v"))
 
 
 def gaussian(spark: SparkSession, rows: int, mean: float, deviation: float, seed: int) -> DataFrame:
-    return spark.range(rows).select("id", (F.randn(seed) * deviation + mean).alias("v"))
+    """``rows`` normal values, each from two draws."""
+    a, b = draw(F.col("id"), seed, 1), draw(F.col("id"), seed, 2)
+    return spark.range(rows).select("id", (F.sqrt(-2 * F.ln(1 - a)) * F.cos(2 * math.pi * b) * deviation + mean).alias("v"))
 
 
 def zipf_probabilities(spark: SparkSession, n: int, alpha: float) -> DataFrame:
@@ -40,7 +50,7 @@ def zipf(spark: SparkSession, rows: int, low: int, high: int, alpha: float, seed
     """``rows`` values of low to high, the i-th of them in proportion to i to the power -alpha."""
     n = high - low + 1
     table = zipf_probabilities(spark, n, alpha).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "cdf"))), lambda x: x["cdf"]).alias("cdf"))
-    drawn = spark.range(rows).select("id", F.rand(seed).alias("u"))
+    drawn = spark.range(rows).select("id", draw(F.col("id"), seed).alias("u"))
     return drawn.crossJoin(F.broadcast(table)).select("id", (_first_at_least(F.col("cdf"), F.col("u"), n) - 1 + low).cast("long").alias("v"))
 
 

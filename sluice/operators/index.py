@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.sources.storage import SharedFiles
+
 PAIR = ["key", "value"]
 
 
@@ -50,13 +56,13 @@ def ordered(state: DataFrame, start: int | None = None, reverse: bool = False) -
 def neighbours(state: DataFrame, ranges: int = 64) -> DataFrame:
     """(key, before, after): each key's neighbours among the keys; null at the ends.
 
-    Keys are dealt into equal ranges between their least and largest; a window holds a range, and the ranges' edges, one row
-    each, give the neighbours across them.
+    Keys are dealt into ranges that hold about as many each, by approximate percentiles; a window holds a range, and the
+    ranges' edges, one row each, give the neighbours across them.
     """
     keys = state.select("key").distinct()
-    ends = F.broadcast(keys.agg(F.min("key").alias("low"), F.max("key").alias("high")))
-    part = F.floor((F.col("key") - F.col("low")).cast("double") * ranges / (F.col("high") - F.col("low") + 1).cast("double")).cast("int")
-    keys = keys.crossJoin(ends).select("key", part.alias("part"))
+    cuts = F.broadcast(keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")))
+    part = F.aggregate("cuts", F.lit(0), lambda n, cut: n + (F.col("key") > cut).cast("int"))
+    keys = keys.crossJoin(cuts).select("key", part.alias("part"))
     w = W.partitionBy("part").orderBy("key")
     edges = keys.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("final"))
     over = W.orderBy("part")  # at most ``ranges`` rows
@@ -76,8 +82,12 @@ def success(log: DataFrame) -> DataFrame:
 
     After any operation the pair is as it says, whether it succeeded or not; so the one before decides.
     """
+    return _judged(log).select("seq", "ok")
+
+
+def _judged(log: DataFrame) -> DataFrame:
     w = W.partitionBy("key", "value").orderBy("seq")
-    return log.select("seq", (F.coalesce(F.lag("op").over(w), F.lit("D")) != F.col("op")).alias("ok"))
+    return log.select("seq", "op", (F.coalesce(F.lag("op").over(w), F.lit("D")) != F.col("op")).alias("ok"))
 
 
 def replay_unique(log: DataFrame) -> DataFrame:
@@ -112,12 +122,84 @@ def compact(base: DataFrame, log: DataFrame, path: str, rows_of_file: int = 5_00
     return base.sparkSession.read.parquet(path)
 
 
+@dataclass(frozen=True)
+class Thresholds:
+    """When a segmented index is compacted: a log of over ``log_share`` of the base's rows, or over ``segments`` log segments."""
+
+    log_share: float = 0.2
+    segments: int = 16
+    rows_of_file: int = 5_000_000
+
+
+class SegmentedIndex:
+    """An index kept as files of one folder: a base, log segments after it, and a pointer to what counts.
+
+    Each change writes new files and then a new pointer, so readers of an older one are not disturbed until ``vacuum``
+    removes what no pointer of the last ``keep`` names.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, thresholds: Thresholds = Thresholds()):
+        self.spark, self.folder, self.thresholds = spark, folder.rstrip("/"), thresholds
+        self.files = SharedFiles(spark, self.folder)
+
+    def pointers(self) -> list[int]:
+        return sorted(int(n.removeprefix("pointer-")) for n in self.files.names() if re.fullmatch(r"pointer-\d+", n))
+
+    def held(self, number: int) -> dict:
+        return json.loads(self.files.read(f"pointer-{number}"))
+
+    def current(self) -> dict:
+        found = self.pointers()
+        return self.held(found[-1]) if found else {"base": None, "base_rows": 0, "segments": [], "log_rows": 0}
+
+    def _point(self, held: dict) -> None:
+        self.files.write(f"pointer-{(self.pointers() or [0])[-1] + 1}", json.dumps(held))
+
+    def _log(self, held: dict) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.folder}/{n}" for n in held["segments"]]) if held["segments"] else None
+
+    def state(self) -> DataFrame:
+        held = self.current()
+        base = self.spark.read.parquet(f"{self.folder}/{held['base']}") if held["base"] else self.spark.createDataFrame([], "key long, value long")
+        log = self._log(held)
+        return base if log is None else compacted(base, log)
+
+    def append(self, log: DataFrame) -> bool:
+        """Adds a later part of the log; compacts if that passes a threshold, and tells whether it did."""
+        held, name = self.current(), f"segment-{uuid.uuid4().hex}"
+        log.select("seq", "op", *PAIR).write.parquet(f"{self.folder}/{name}")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}").count()
+        held = held | {"segments": [*held["segments"], name], "log_rows": held["log_rows"] + rows}
+        self._point(held)
+        limits = self.thresholds
+        due = held["log_rows"] > limits.log_share * held["base_rows"] or len(held["segments"]) > limits.segments
+        if due:
+            self.compact()
+        return due
+
+    def compact(self) -> None:
+        name = f"base-{uuid.uuid4().hex}"
+        rows = compact(self.state(), self.spark.createDataFrame([], "seq long, op string, key long, value long"), f"{self.folder}/{name}", self.thresholds.rows_of_file).count()
+        self._point({"base": name, "base_rows": rows, "segments": [], "log_rows": 0})
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes bases, segments and pointers that none of the last ``keep`` pointers needs; returns their names."""
+        found = self.pointers()
+        stay = {f"pointer-{n}" for n in found[-keep:]}
+        for n in found[-keep:]:
+            held = self.held(n)
+            stay |= {held["base"], *held["segments"]}
+        gone = [n for n in self.files.names() if re.match("(base|segment|pointer)-", n) and n not in stay]
+        for n in gone:
+            self.files.remove(n)
+        return sorted(gone)
+
+
 def key_histogram(state: DataFrame) -> DataFrame:
     return state.groupBy("key").agg(F.count("*").alias("n"))
 
 
 def counters(log: DataFrame) -> DataFrame:
     """Inserts and deletes, and how many of each succeeded."""
-    done = log.join(success(log), "seq")
     one = lambda op, ok: F.count(F.when((F.col("op") == op) & (F.col("ok") if ok else F.lit(True)), 1))
-    return done.agg(one("I", False).alias("inserts"), one("I", True).alias("inserted"), one("D", False).alias("deletes"), one("D", True).alias("deleted"))
+    return _judged(log).agg(one("I", False).alias("inserts"), one("I", True).alias("inserted"), one("D", False).alias("deletes"), one("D", True).alias("deleted"))

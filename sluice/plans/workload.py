@@ -2,10 +2,12 @@
 
     python -m sluice.plans.workload sql < queries        # the SQL of each query
     python -m sluice.plans.workload run RELATION... < queries
+    python -m sluice.plans.workload run < relations, a line Done, queries
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 import time
 from collections.abc import Iterable, Iterator
@@ -38,17 +40,36 @@ def run_workload(lines: Iterable[str], catalog: Catalog, at_once: int = 4, **opt
 
 
 def check_workload(lines: Iterable[str], expected: Iterable[str], catalog: Catalog, most: int = 100) -> tuple[float, list[tuple[int, str, str]]]:
-    """Seconds, and up to ``most`` (place, expected, answer) that differ."""
-    began = time.perf_counter()
-    got = run_workload(lines, catalog)
-    took = time.perf_counter() - began
-    want = [x.strip() for x in expected]
-    wrong = [(i, a, b) for i, (a, b) in enumerate(zip(want, got)) if a != b]
-    if len(want) != len(got):
-        wrong.append((min(len(want), len(got)), f"{len(want)} lines", f"{len(got)} lines"))
+    """Seconds of the batches, and up to ``most`` (place, expected, answer) that differ; at that number the run ends.
+
+    Each batch is timed alone and compared before the next one begins.
+    """
+    want, took, wrong, place = [x.strip() for x in expected], 0.0, [], 0
+    for batch in batches(lines):
+        began = time.perf_counter()
+        got = run_workload([*batch, "F"], catalog)
+        took += time.perf_counter() - began
+        wrong += [(place + i, a, b) for i, (a, b) in enumerate(zip(want[place:], got)) if a != b]
+        place += len(got)
+        if len(wrong) >= most:
+            return took, wrong[:most]
+    if len(want) != place:
+        wrong.append((min(len(want), place), f"{len(want)} lines", f"{place} lines"))
     return took, wrong[:most]
 
 
+def load(spark, paths: Iterable[str], at_once: int = 8) -> Catalog:
+    """The relations of the files named, one a line up to a line ``Done``; headers are read at the same time, numbers follow the lines."""
+    from sluice.sources.relation_io import read_relation
+
+    names = list(itertools.takewhile(lambda x: x != "Done", filter(None, map(str.strip, paths))))
+    catalog = Catalog()
+    with ThreadPoolExecutor(at_once) as pool:
+        for df in pool.map(lambda path: read_relation(spark, path), names):
+            catalog.add(df, wide=True)
+    return catalog
+
+
 def main(args: list[str]) -> None:
     if args[:1] == ["sql"]:
         for line in sys.stdin:
@@ -57,12 +78,8 @@ def main(args: list[str]) -> None:
         return
     from pyspark.sql import SparkSession
 
-    from sluice.sources.relation_io import read_relation
-
     spark = SparkSession.builder.getOrCreate()
-    catalog = Catalog()
-    for path in args[1:]:
-        catalog.add(read_relation(spark, path), wide=True)
+    catalog = load(spark, args[1:] or iter(sys.stdin.readline, ""))
     for batch in batches(sys.stdin):
         print("\n".join(run_workload([*batch, "F"], catalog)), flush=True)
 

@@ -125,6 +125,7 @@ def join_cost_rank(spark, sf_dir):
     return spark.createDataFrame(rows, "place int, predicate string, cost long")
 
 
+#: Fixed value: a query whose SQL and text must come out as given.
 _SAMPLE = "0 2|0.1=1.1&0.0=1.0&0.1=5|0.1 1.4"
 
 
@@ -150,10 +151,7 @@ def relation_generated(spark, sf_dir):
 
 def relation_binary_roundtrip(spark, sf_dir):
     """A relation that is written as a file and read again."""
-    path = shared_path(spark, "relation").removeprefix("file://")
-    import os
-
-    os.makedirs(path.rpartition("/")[0], exist_ok=True)
+    path = shared_path(spark, "relation")
     relation_io.write_relation(table_catalog(spark, sf_dir)[1], path)
     return relation_io.read_relation(spark, path)
 
@@ -175,8 +173,15 @@ def _half(spark, sf_dir):
     return index.replay(log.where("seq % 2 = 0")), log.where("seq % 2 = 1")
 
 
+def _middle(spark, sf_dir) -> int:
+    """A cut in the middle of the log."""
+    return register_log(spark, sf_dir).agg(F.max("seq")).first()[0] // 2
+
+
 def snapshot_full(spark, sf_dir):
-    return registers.full_snapshot(spark, register_log(spark, sf_dir), 200, 300)
+    """All registers up to the largest one that writes, at the middle of the log."""
+    log = register_log(spark, sf_dir)
+    return registers.full_snapshot(spark, log, log.agg(F.max("tid")).first()[0] + 1, _middle(spark, sf_dir))
 
 
 def rlb_flush_pointer(spark, sf_dir):
@@ -227,7 +232,7 @@ QUERIES: dict = {name: _text_query(text, options) for name, (text, options) in T
     "index_size": lambda s, d: index.size(state(s, d)),
     "index_range_scan": lambda s, d: index.ordered(state(s, d), 100),
     "index_full_scan": lambda s, d: index.ordered(state(s, d)),
-    "index_reverse_scan": lambda s, d: index.ordered(state(s, d), reverse=True).limit(25),
+    "index_reverse_scan": lambda s, d: index.ordered(state(s, d), reverse=True),
     "index_neighbors": lambda s, d: index.neighbours(state(s, d)),
     "index_insert": lambda s, d: index.insert(_half(s, d)[0], _half(s, d)[1].select("key", "value")),
     "index_insert_unique": lambda s, d: index.insert(index.replay(op_log(s, d).where("key % 2 = 0")), op_log(s, d), unique=True),
@@ -240,12 +245,12 @@ QUERIES: dict = {name: _text_query(text, options) for name, (text, options) in T
     "index_key_histogram": lambda s, d: index.key_histogram(state(s, d)),
     "index_counters": lambda s, d: index.counters(op_log(s, d)),
     "snapshot_latest": lambda s, d: registers.snapshot(register_log(s, d)),
-    "snapshot_asof": lambda s, d: registers.snapshot(register_log(s, d), 500),
+    "snapshot_asof": lambda s, d: registers.snapshot(register_log(s, d), _middle(s, d)),
     "snapshot_full": snapshot_full,
     "snapshot_update_counts": lambda s, d: registers.update_counts(register_log(s, d)),
     "snapshot_versions": lambda s, d: registers.versions(register_log(s, d)),
     "snapshot_embedded": lambda s, d: registers.at_cuts(register_log(s, d), 100),
-    "snapshot_text": lambda s, d: registers.as_text(registers.snapshot(register_log(s, d), 500)),
+    "snapshot_text": lambda s, d: registers.as_text(registers.snapshot(register_log(s, d), _middle(s, d))),
     "rlb_point": lambda s, d: boundary.boundary(slots(s, d)),
     "rlb_timeline": lambda s, d: boundary.timeline(_slot_log(events(s, d)), 100),
     "rlb_flush_pointer": rlb_flush_pointer,
@@ -254,6 +259,7 @@ QUERIES: dict = {name: _text_query(text, options) for name, (text, options) in T
     "zipf_cdf": lambda s, d: _zipf_table(s, d).select("i", F.round("cdf", 6).alias("cdf")),
     "uniform_sample": lambda s, d: generators.uniform(s, 1000, 1, 9, 7),
     "zipf_sample": lambda s, d: generators.zipf(s, 1000, 1, 9, 1.0, 7),
+    "gaussian_sample": lambda s, d: generators.gaussian(s, 1000, 5.0, 2.0, 7).select("id", F.round("v", 6).alias("v")),
     "sample_histogram": lambda s, d: generators.histogram(generators.zipf(s, 1000, 1, 9, 2.0, 7)),
     "stream_snapshot_latest": stream_snapshot_latest,
     "stream_index_replay": stream_index_replay,
@@ -270,12 +276,18 @@ def _compact_input(spark, sf_dir):
 
 
 _SNAPSHOT = "SELECT user_id AS tid, count(*) AS version, max_by(event_id, event_id) AS value FROM events"
+_MIDDLE = " WHERE event_id <= (SELECT max(event_id) // 2 FROM events)"
 _UNIQUE = (
     _LOG.replace("WITH", "WITH RECURSIVE", 1)
     + ", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM log), f AS (SELECT key, i, CASE WHEN op = 'I' THEN value END AS held FROM n WHERE i = 1 UNION ALL"
     " SELECT n.key, n.i, CASE WHEN n.op = 'I' AND f.held IS NULL THEN n.value WHEN n.op = 'D' AND f.held = n.value THEN NULL ELSE f.held END FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1)"
     " SELECT key, max_by(held, i) AS value FROM (SELECT key, held, i, max(i) OVER (PARTITION BY key) AS m FROM f) WHERE i = m AND held IS NOT NULL GROUP BY key"
 )
+_DRAW = "(CAST('0x' || substr(md5('7:{}:' || range), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+_ZIPF = (
+    "WITH t AS (SELECT range AS i, sum(pow(range, -{0}.0)) OVER (ORDER BY range) / (SELECT sum(pow(range, -{0}.0)) FROM range(1, 10)) AS cdf FROM range(1, 10)),"
+    f" u AS (SELECT range AS id, {_DRAW.replace('{}', '0')} AS u FROM range(1000)), drawn AS (SELECT id, least(9, count(i) FILTER (WHERE cdf < u) + 1) AS v FROM u CROSS JOIN t GROUP BY id)"
+)
 _RLB = "CAST(coalesce(least(max(lsn), min(lsn) FILTER (WHERE is_working)), 0) AS BIGINT)"
 
 ORACLES: dict[str, str] = {name: _text_oracle(text) for name, (text, _) in TEXTS.items()} | {
@@ -303,7 +315,7 @@ ORACLES: dict[str, str] = {name: _text_oracle(text) for name, (text, _) in TEXTS
     "index_size": _STATE + " SELECT count(*) AS size FROM state",
     "index_range_scan": _STATE + " SELECT key, value FROM state WHERE key >= 100",
     "index_full_scan": _STATE + " SELECT key, value FROM state",
-    "index_reverse_scan": _STATE + " SELECT key, value FROM state ORDER BY key DESC, value DESC LIMIT 25",
+    "index_reverse_scan": _STATE + " SELECT key, value FROM state",
     "index_neighbors": _STATE + " SELECT key, lag(key) OVER (ORDER BY key) AS before, lead(key) OVER (ORDER BY key) AS after FROM (SELECT DISTINCT key FROM state)",
     "index_insert": _LOG + " SELECT key, value FROM (SELECT key, value, max_by(op, seq) AS op FROM log WHERE seq % 2 = 0 GROUP BY key, value) WHERE op = 'I' UNION SELECT key, value FROM log WHERE seq % 2 = 1",
     "index_insert_unique": _LOG + ", base AS (SELECT key, value FROM (SELECT key, value, max_by(op, seq) AS op FROM log WHERE key % 2 = 0 GROUP BY key, value) WHERE op = 'I') SELECT key, value FROM base UNION ALL SELECT key, min(value) FROM log WHERE key NOT IN (SELECT key FROM base) GROUP BY key",
@@ -316,18 +328,22 @@ ORACLES: dict[str, str] = {name: _text_oracle(text) for name, (text, _) in TEXTS
     "index_key_histogram": _STATE + " SELECT key, count(*) AS n FROM state GROUP BY key",
     "index_counters": _LOG + ", s AS (SELECT op, coalesce(lag(op) OVER (PARTITION BY key, value ORDER BY seq), 'D') <> op AS ok FROM log) SELECT count(*) FILTER (WHERE op = 'I') AS inserts, count(*) FILTER (WHERE op = 'I' AND ok) AS inserted, count(*) FILTER (WHERE op = 'D') AS deletes, count(*) FILTER (WHERE op = 'D' AND ok) AS deleted FROM s",
     "snapshot_latest": _SNAPSHOT + " GROUP BY user_id",
-    "snapshot_asof": _SNAPSHOT + " WHERE event_id <= 500 GROUP BY user_id",
-    "snapshot_full": f"SELECT range AS tid, coalesce(version, 0) AS version, coalesce(value, 0) AS value FROM range(200) LEFT JOIN ({_SNAPSHOT} WHERE event_id <= 300 GROUP BY user_id) ON tid = range",
+    "snapshot_asof": _SNAPSHOT + _MIDDLE + " GROUP BY user_id",
+    "snapshot_full": f"SELECT range AS tid, coalesce(version, 0) AS version, coalesce(value, 0) AS value FROM range((SELECT max(user_id) + 1 FROM events)) LEFT JOIN ({_SNAPSHOT}{_MIDDLE} GROUP BY user_id) ON tid = range",
     "snapshot_update_counts": "SELECT user_id AS tid, count(*) AS updates FROM events GROUP BY user_id",
     "snapshot_versions": "SELECT event_id AS seq, user_id AS tid, event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events",
     "snapshot_embedded": "WITH c AS (SELECT range * 100 AS cut FROM range(1, (SELECT max(event_id) // 100 + 1 FROM events))) SELECT cut, user_id AS tid, count(*) AS version, max(event_id) AS value FROM c JOIN events ON event_id < cut GROUP BY cut, user_id",
-    "snapshot_text": f"SELECT 'Snapshot(' || string_agg(CAST(value AS VARCHAR), ', ' ORDER BY tid) || ')' AS text FROM ({_SNAPSHOT} WHERE event_id <= 500 GROUP BY user_id)",
+    "snapshot_text": f"SELECT 'Snapshot(' || string_agg(CAST(value AS VARCHAR), ', ' ORDER BY tid) || ')' AS text FROM ({_SNAPSHOT}{_MIDDLE} GROUP BY user_id)",
     "rlb_point": _SLOTS + f" SELECT {_RLB} AS rlb FROM slots WHERE pid <> 0",
     "rlb_timeline": _SLOTS + f", c AS (SELECT range * 100 AS cut FROM range(0, (SELECT max(event_id) // 100 + 1 FROM events))), t AS (SELECT cut, pid, max_by(is_working, seq) AS is_working, max_by(lsn, seq) AS lsn FROM c JOIN log ON seq <= cut GROUP BY cut, pid) SELECT cut, {_RLB} AS rlb FROM t GROUP BY cut",
     "rlb_flush_pointer": _SLOTS + f" SELECT range AS request, greatest(range, (SELECT {_RLB} FROM slots)) AS flush FROM range(0, 20000, 1000)",
     "rlb_active_slots": _SLOTS + " SELECT pid, is_working, lsn FROM slots WHERE pid <> 0",
     "zipf_pmf": "SELECT range AS i, round((1 / range) / (SELECT sum(1 / range) FROM range(1, 21)), 6) AS p FROM range(1, 21)",
     "zipf_cdf": "SELECT range AS i, round(sum(1 / range) OVER (ORDER BY range) / (SELECT sum(1 / range) FROM range(1, 21)), 6) AS cdf FROM range(1, 21)",
+    "uniform_sample": f"SELECT range AS id, CAST(floor({_DRAW.format(0)} * 9) AS BIGINT) + 1 AS v FROM range(1000)",
+    "gaussian_sample": f"SELECT range AS id, round(sqrt(-2 * ln(1 - {_DRAW.format(1)})) * cos(2 * pi() * {_DRAW.format(2)}) * 2 + 5, 6) AS v FROM range(1000)",
+    "zipf_sample": _ZIPF.format(1) + " SELECT id, v FROM drawn",
+    "sample_histogram": _ZIPF.format(2) + " SELECT v, count(*) AS n, repeat('*', CAST(count(*) // 10 AS INTEGER)) AS bar FROM drawn GROUP BY v",
     "stream_snapshot_latest": _SNAPSHOT + " GROUP BY user_id",
     "stream_index_replay": _STATE + " SELECT key, value FROM state",
     "stream_index_unique": _UNIQUE,

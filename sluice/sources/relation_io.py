@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import uuid
 
 import numpy as np
@@ -82,20 +83,43 @@ def to_parquet(spark: SparkSession, path: str, out: str) -> DataFrame:
 
 
 def write_relation(df: DataFrame, path: str) -> None:
-    """Writes the file from the driver, streaming one partition at a time; the column arrays are filled in place."""
-    rows, columns, path = df.count(), len(df.columns), _local(path)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(np.array([rows, columns], "<u8").tobytes())
-        f.truncate(16 + 8 * rows * columns)
-    if rows and columns:
-        cells = np.memmap(part, "<i8", "r+", 16, (columns, rows))
-        at = 0
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            cells[:, at] = row
-            at += 1
-        cells.flush()
-    os.replace(part, path)
+    """Writes the file: each task streams its columns to segments beside it, which the driver then joins as they are.
+
+    The folder must be one that the tasks and the driver share.  A null is an error.
+    """
+    columns, path = len(df.columns), _local(path)
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    folder = f"{path}.{uuid.uuid4().hex}"
+    os.makedirs(folder)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        name, rows = f"{folder}/{uuid.uuid4().hex}", 0
+        out = [open(f"{name}.{i}", "wb") for i in range(columns)]
+        for batch in batches:
+            rows += batch.num_rows
+            for f, column in zip(out, batch.columns):
+                if column.null_count:
+                    raise ValueError("a relation holds no nulls")
+                f.write(column.to_numpy().astype("<i8", copy=False).tobytes())
+        for f in out:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([rows], pa.int64())], ["part", "name", "n"])
+
+    try:
+        longs = df.select(*[F.col(f"`{c}`").cast("long").alias(f"c{i}") for i, c in enumerate(df.columns)])
+        parts = sorted(longs.mapInArrow(run, "part int, name string, n long").collect()) if columns else []  # a row for each task
+        with open(f"{folder}/whole", "wb") as f:
+            f.write(np.array([sum(x.n for x in parts) if columns else df.count(), columns], "<u8").tobytes())
+            for i in range(columns):
+                for x in parts:
+                    with open(f"{x.name}.{i}", "rb") as segment:
+                        shutil.copyfileobj(segment, f, 1 << 22)
+        os.replace(f"{folder}/whole", path)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def generated(spark: SparkSession, rows: int, columns: int) -> DataFrame:

@@ -5,12 +5,13 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from sluice import drivers
 from sluice.functions import unsigned
 from sluice.operators import boundary, generators, index, registers
 from sluice.plans import workload
 from sluice.plans.planner import answer, execute, joined
 from sluice.plans.spec import QueryError, QuerySpec
-from sluice.sources import relation_io
+from sluice.sources import relation_io, storage
 from sluice.sources.catalog import Catalog, table_catalog
 
 
@@ -58,6 +59,7 @@ def test_sql_of_queries(monkeypatch, capsys):
     assert capsys.readouterr().out == 'SELECT SUM("0".c1), SUM("1".c4) FROM r0 "0", r2 "1" WHERE "0".c1="1".c1 and "0".c0="1".c0 and "0".c1=5;\n'
 
 
+#: The texts of the next two tests are fixed values too.
 def test_parser():
     spec = QuerySpec.parse("0 2 4|0.1=1.1&0.0=2.1&1.0=2.0&1.0>3|0.1 1.4 2.2")
     assert spec.relations == (0, 2, 4) and len(spec.joins) == 3 and len(spec.filters) == 1 and str(spec.selections[1]) == "1.4"
@@ -157,6 +159,65 @@ def test_compact(spark, tmp_path):
     assert pairs(index.compact(base, log, str(tmp_path / "c"))) == [(2, 2), (3, 3)]
 
 
+def test_neighbours_at_the_ends_of_longs(spark):
+    keys = [-(2**63), -(2**63) + 1, -5, 0, 7, 2**63 - 2, 2**63 - 1]
+    rows = spark.createDataFrame([(k, 1) for k in keys], "key long, value long")
+    got = {r.key: (r.before, r.after) for r in index.neighbours(rows, 4).collect()}
+    assert got == {k: (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None) for i, k in enumerate(keys)}
+    skewed = spark.range(2000).select((F.col("id") * F.col("id") * F.col("id")).alias("key"), F.lit(1).alias("value"))
+    got = {r.key: r.after for r in index.neighbours(skewed, 16).collect()}
+    assert all(got[i**3] == ((i + 1) ** 3 if i < 1999 else None) for i in range(2000)) and index.neighbours(rows.limit(0)).count() == 0
+
+
+def test_counters(spark):
+    got = index.counters(log_of(spark, ["I3", "I3", "D3", "D3", "I4"])).first()
+    assert (got.inserts, got.inserted, got.deletes, got.deleted) == (3, 2, 2, 1)
+
+
+def test_segmented_index(spark, tmp_path):
+    held = index.SegmentedIndex(spark, f"file://{tmp_path}/x", index.Thresholds(log_share=0.6, segments=3))
+    assert pairs(held.state()) == [] and held.append(log_of(spark, ["I1", "I2", "I3", "I4"]))
+    assert not held.append(log_of(spark, ["D1", "I9"])) and pairs(held.state()) == [(1, 2), (1, 3), (1, 4), (1, 9)]
+    assert held.append(log_of(spark, ["D2"])) and pairs(held.state()) == [(1, 3), (1, 4), (1, 9)]
+    before = set(held.files.names())
+    gone = held.vacuum()
+    assert pairs(held.state()) == [(1, 3), (1, 4), (1, 9)] and set(held.files.names()) == before - set(gone) and len(gone) == 8
+    assert held.vacuum() == []
+
+
+def test_old_intermediate_tables_go(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/sluice-some-0")
+    (tmp_path / "other").mkdir()
+    folder = f"file://{tmp_path}"
+    assert storage.clean(spark, folder=folder) == [] and storage.clean(spark, -60.0, folder) == ["sluice-some-0"] and (tmp_path / "other").exists()
+
+
+def test_write_events(spark):
+    writes = spark.createDataFrame([(1, 4, 0, 10, 30), (2, 3, 1, 20, 25), (5, 6, 9, 30, 40)], "start long, finish long, writer long, lsn long, written long")
+    log = boundary.write_events(writes, 8)
+    points = [boundary.boundary(boundary.latest_slots(log.where(F.col("seq") <= t))).first().rlb for t in range(1, 7)]
+    assert points == [10, 10, 10, 30, 30, 40] and {r.pid for r in log.collect()} == {1, 2}
+
+
+def test_drivers(spark):
+    counts, took = drivers.update_and_scan(spark, 3, 0.0, 300)
+    assert took > 0 and {r.tid: r.updates for r in counts.collect()} == {0: 100, 1: 100, 2: 100}
+    for alpha in (0.0, 1.0):
+        got = drivers.insert_and_read(spark, 500, alpha, 200)
+        assert got["found"] == 200 and got["insert_s"] > 0
+
+
+def test_load_and_stop(spark, tmp_path, ten):
+    for n in (3, 5):
+        relation_io.write_relation(relation_io.generated(spark, n, 2), str(tmp_path / f"r{n}"))
+    catalog = workload.load(spark, [f"{tmp_path}/r5\n", f"{tmp_path}/r3\n", "Done\n", "0|0.0=1|0.0\n"])
+    assert [df.count() for df in catalog.frames] == [5, 3]
+    took, wrong = workload.check_workload([GOLDEN[0][0], "F", GOLDEN[4][0], "F"], ["1", "2"], ten, most=1)
+    assert wrong == [(0, "1", "45")]
+    with pytest.raises(Exception, match="no nulls"):
+        relation_io.write_relation(spark.createDataFrame([(None,)], "a long"), str(tmp_path / "bad"))
+
+
 @pytest.mark.parametrize("n", [1, 2, 8, 32])
 def test_registers(spark, n):
     log = spark.createDataFrame([(s, s % n, s * 3) for s in range(100)], "seq long, tid long, value long")
@@ -165,6 +226,8 @@ def test_registers(spark, n):
     assert len(after) == n and all(after[t][0] >= v for t, v in before.items()) and sum(v for v, _ in after.values()) == 71
     grown = registers.update(log, spark.createDataFrame([(0, 7, 1), (0, 8, 2)], "tid long, value long, order int"))
     last = {r.tid: (r.version, r.value) for r in registers.snapshot(grown).collect()}
+    many = registers.update(log, spark.range(500).select((F.col("id") % n).alias("tid"), F.col("id").alias("value"), (499 - F.col("id")).alias("order")).repartition(3))
+    assert sorted((r.seq, r.value) for r in many.where("seq > 99").collect()) == [(100 + i, 499 - i) for i in range(500)]
     assert last[0][1] == 8 and last[0][0] == {r.tid: r.version for r in registers.snapshot(log).collect()}[0] + 2
 
 
