@@ -19,10 +19,10 @@ def work_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     found = "file://" + tempfile.mkdtemp(prefix="sluice-")
-    spark.conf.set("spark.checkpoint.dir", found)
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -42,13 +42,25 @@ BATCH_ROWS = 2000
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of each row; a null text is an empty one.  Lowers Spark's default number of rows in an Arrow batch; another number stays."""
+    """(doc_id, text) of each row; a null text is an empty one.
+
+    Lowers Spark's default number of rows in an Arrow batch, which is read when a plan runs and so stays lowered in this session; another number that
+    the session has is kept.
+    """
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":
         conf.set(name, str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,10 +144,28 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     return made
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _stripped(data: bytes, a: np.ndarray, begin: np.ndarray, stop: np.ndarray, edges: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words without the given bytes at their ends; ones that hold no others go."""
+    mark = np.zeros(256, bool)
+    mark[list(edges)] = True
+    for step, last in ((1, False), (-1, True)):
+        place = stop if last else begin
+        at = np.flatnonzero((stop > begin) & mark[a[np.maximum(place - last, 0)]])
+        for _ in range(32):
+            place[at] += step
+            at = at[stop[at] > begin[at]]
+            at = at[mark[a[place[at] - last]]]
+        for i in at.tolist():  # longer runs of marks
+            word = data[begin[i] : stop[i]]
+            place[i] += step * (len(word) - len(word.rstrip(edges) if last else word.lstrip(edges)))
+    keep = stop > begin
+    return begin[keep], stop[keep]
+
+
+def word_hashes(data: bytes, edges: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of bytes other than ASCII white space) and where each begins; case counts.
 
-    Memory is bounded by blocks, which end at white space; only a longer word makes a longer block.
+    With ``edges``, words are taken without these bytes at their ends, and words of such bytes only stay out.  Memory is bounded by blocks, which end at white space; only a longer word makes a longer block.
     """
     hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
@@ -146,6 +176,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         inside[1:-1] = (a != 32) & ((a - np.uint8(9)) > 4)
         step = np.diff(inside)
         begin, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        if edges and len(begin):
+            begin, stop = _stripped(data[at:end], a, begin, stop, edges)
         power, inverse = _power_table(len(a))
         sums = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(_BYTES[a] * power[: len(a)], out=sums[1:])
@@ -155,11 +187,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def hashed_words(texts: list[bytes]) -> list[np.ndarray]:
+def hashed_words(texts: list[bytes], edges: bytes = b"") -> list[np.ndarray]:
     """The hashes of each text's words, in order."""
     if not texts:
         return []
-    h, at = word_hashes(b"\n".join(texts))
+    h, at = word_hashes(b"\n".join(texts), edges)
     begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     return np.split(h, np.searchsorted(at, begin[1:]))
 

@@ -433,12 +433,14 @@ def dedup_lines(docs: DataFrame, share: int = 80) -> DataFrame:
     A document that has lost all lines goes; one that had none (a null, empty or blank text) stays as it is.  Rows that repeat
     a doc_id and text are treated alike; rows without a doc_id come before all others.  An empty table gives no rows.
     """
-    gone = removals(docs, share).where("size(removed) > 0").withColumnsRenamed({"did": "__did", "dk": "__dk", "n_lines": "__n", "removed": "__gone"})
+    did, dk, n, places = (common.free(docs, c) for c in ("__did", "__dk", "__n", "__gone"))
+    gone = removals(docs, share).where("size(removed) > 0").withColumnsRenamed({"did": did, "dk": dk, "n_lines": n, "removed": places})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__did")) & (F.xxhash64(text) == F.col("__dk")), "left")
-    out = out.where("__n IS NULL OR size(__gone) < __n").withColumn("text", F.when(F.col("__n").isNull(), F.col("text")).otherwise(without(text, F.col("__gone"))))
+    out = docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(did)) & (F.xxhash64(text) == F.col(dk)), "left")
+    same = F.col(n).isNull()
+    out = out.where(same | (F.size(places) < F.col(n))).withColumn("text", F.when(same, F.col("text")).otherwise(without(text, F.col(places))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict:
     return fit([np.frombuffer(m, np.float32).reshape(-1, OWN).astype(float) for m in got["m"].to_pylist()], [np.frombuffer(s, np.float32).astype(float) for s in got["s"].to_pylist()], y)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with one more column, __quality: 0 to 1.  All other columns stay; a text without words counts as one empty line."""
+def score(docs: DataFrame, model: dict, column: str = "__quality") -> DataFrame:
+    """``docs`` with one more column (__quality, if not another name is given): 0 to 1.  All other columns stay; a text without words counts as one empty line."""
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 out.append(1 / (1 + np.exp(-(model["a"] * z + model["c"]))))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("__quality", F.pandas_udf(scored, "double")(F.col("text").cast("string")))
+    return docs.withColumn(column, F.pandas_udf(scored, "double")(F.col("text").cast("string")))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

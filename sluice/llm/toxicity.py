@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, swaps: dict[str, dict[str, str]] |
     return chosen, fit_logistic([numbers(x) for x in rows], y, len(chosen), [m for m in moved if len(m)], penalty=penalty)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with one more column, __toxicity: 0 to 1.  All other columns stay; a null text is an empty one.
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str = "__toxicity") -> DataFrame:
+    """``docs`` with one more column (__toxicity, if not another name is given): 0 to 1.  All other columns stay; a null text is an empty one.
 
     The model has at most FEATURES weights and travels with the tasks.
     """
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         hashes.clear()
         common.tidy()
 
-    return docs.withColumn("__toxicity", F.pandas_udf(scored, "double")(F.col("text").cast("string")))
+    return docs.withColumn(column, F.pandas_udf(scored, "double")(F.col("text").cast("string")))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

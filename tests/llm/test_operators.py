@@ -179,6 +179,19 @@ def test_bpe(spark, odd_rows, chunk, overlap):
     assert bpe.encode(frame(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_moves_cuts_past_long_runs(spark):
+    """Runs of letters and of spaces longer than the overlap stand at the usual cuts."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(path), special_tokens={})
+    r = random.Random(6)
+    plain = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    text = plain(60) + " " + "x" * 700 + " " + plain(60) + " " * 700 + plain(60) + "".join(" " + plain(40) for _ in range(30))
+    out = bpe.encode(frame(spark, [(1, text)]), path, public_tokenizers.PATTERN, 500, 50).collect()
+    assert bytes(out[0].ids) == np.array(one.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_token_store(spark, odd_rows):
     from tokenizers import Tokenizer
 
@@ -574,3 +587,20 @@ def test_pipeline_stages_tell_rows_with_null_and_repeated_ids_apart(spark):
     rows = [(None, f"{a} {item} {b}"), (None, c), (9, item), (9, d), (9, d), (1, a)]
     out = corpus_pipeline.decontaminate_documents(spark, frame(spark, rows), DATA)
     assert sorted(((x.doc_id, x.text) for x in out.collect()), key=repr) == sorted([(None, c), (9, d), (9, d), (1, a)], key=repr)
+
+
+def test_pipeline_stages_on_odd_rows_and_nothing(spark, odd_rows):
+    """Each stage on nulls, empty and very long texts, repeats and columns that are named like its own, and on no rows."""
+    wide = frame(spark, odd_rows).withColumns({c: F.lit(i) for i, c in enumerate(["__toxicity", "__key", "__did", "__dk", "__n", "__gone", "component", "text_hash", "n_chars"])})
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialize(stage(spark, wide, DATA), "t")
+        none = stage(spark, wide.limit(0), DATA)
+        assert none.count() == 0
+        if name == "bpe":
+            assert out.count() == len(odd_rows) and [x.n_tokens for x in out.where("doc_id IN (300, 301)").collect()] == [0, 0]
+            continue
+        assert out.columns == wide.columns and none.columns == wide.columns
+        held = out.collect()
+        assert {x.text for x in held} <= {t for _, t in odd_rows} if name != "line_dedup" else all(x.text is None or x.text.count("\n") < 900 for x in held)
+        assert all(x["__key"] == 1 and x["__gone"] == 5 and x.component == 6 for x in held)
+        assert sum(x.doc_id in (300, 301, 302) for x in held) == 3  # texts without words stay
