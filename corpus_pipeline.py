@@ -1,7 +1,12 @@
 """A corpus pipeline over the table of documents: toxicity, line dedup, near-dedup, decontamination, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs.  All stages but the last return the columns of documents.
+stage's docs.  All stages but the last return the columns of documents, whatever others a table has besides doc_id and text and
+whatever their names.  In every stage a null text is an empty one (and stays null where it is kept), rows may lack a
+doc_id or repeat one, texts are taken whole at any length, and an empty table gives an empty one.
+
+The order of the stages is given.  Line dedup leaves hardly a near copy to the stage after it: of two near copies the later one has lost
+the lines that they share.  Near-dedup then finds what is left.
 """
 
 from __future__ import annotations
@@ -15,21 +20,31 @@ REJECT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity reaches REJECT go."""
+    """Documents whose toxicity reaches REJECT go.
+
+    A text without words has the score of the model's bias; rows that repeat go or stay together.  Without labels of both kinds each
+    row has the share of the toxic ones as its score.
+    """
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("__toxicity") < REJECT).drop("__toxicity")
+    column = common.free(docs, "__toxicity")
+    scored = toxicity.score(docs, model, column)
+    return scored.where(F.col(column) < REJECT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line matches go; a document that has lost all of them goes too."""
+    """Lines that an earlier line matches go (by doc_id, then place; rows without a doc_id first); a document that has lost all of them goes too.
+
+    Texts without lines stay as they are.  Rows that repeat a doc_id and text are one document: each loses what an earlier document has, and
+    what stands twice in itself.
+    """
     return line_dedup.dedup_lines(docs)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row: a 64-bit hash of its doc_id, which may be null or repeat, and its text."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, and the key's name: a 64-bit hash of its doc_id, which may be null or repeat, and its text."""
+    name = common.free(docs, "__key")
     rows = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("__key", rows)
+    return docs.withColumn(name, rows), name
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,31 +53,37 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by doc_id and text: a null id is no id to join on, and each text of a repeated id has its own group.  Of
     rows that repeat both one stays.  Texts without words are in no group and all stay.
     """
-    rows = keyed(docs)
-    found = near_dedup.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"), shingle=5, share=80).where("n_shingles > 0")
-    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("component"), F.count("*").alias("times"))
+    rows, key = keyed(docs)
+    found = near_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), shingle=5, share=80).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.first("component_id").alias("component"), F.count("*").alias("times"))
     found = common.materialize(found, "found")
-    ids = rows.select("__key", F.col("doc_id").cast("long").alias("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key").alias("key")))
-    stay = ids.join(found, "__key").groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
-    gone = common.materialize(found.select("__key").join(stay, "__key", "left_anti"), "gone")
-    out = rows.join(gone, "__key", "left_anti")
-    again = found.where("times > 1").select("__key")
+    ids = rows.select(key, F.col("doc_id").cast("long").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key).alias("key")))
+    stay = ids.join(found, key).groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    gone = common.materialize(found.select(key).join(stay, key, "left_anti"), "gone")
+    out = rows.join(gone, key, "left_anti")
+    again = found.where("times > 1").select(key)
     if not again.isEmpty():
-        out = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go; rows are told apart by doc_id and text, as above."""
-    rows = keyed(docs)
-    found = decontaminate.matches(rows.select(F.col("__key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("__key")).distinct()
-    return rows.join(gone, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows that hold a benchmark item go; rows are told apart by doc_id and text, as above, so rows that repeat both go or stay together.
+
+    Items without words match nothing; an empty benchmark leaves all rows.
+    """
+    rows, key = keyed(docs)
+    found = decontaminate.matches(rows.select(F.col(key).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its byte-level BPE ids (little-endian unsigned 32-bit integers), their number and digest, and the digest of the decoded bytes."""
+    """Per document its byte-level BPE ids (little-endian unsigned 32-bit integers), their number and digest, and the digest of the decoded bytes.
+
+    A null or empty text has none; each row gives a row.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
