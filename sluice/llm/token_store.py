@@ -75,6 +75,7 @@ class PerfectHash:
 def _open(path: str):
     from pyarrow import fs
 
+    path = re.sub("^s3[an]:", "s3:", path)  # Hadoop's names for it
     return fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+:", path) else "file://" + path)
 
 
