@@ -31,7 +31,7 @@ TOGETHER, PART = 20_000, 16
 #: Entries of a block of a larger token.
 BLOCK_ROWS = 8192
 #: Prefix entries that a task packs at once, and pairs that are compared at once.
-PACKED, PAIRS = 400_000, 1 << 19
+PACKED, PAIRS = 200_000, 1 << 19
 NO_ID = -(2**63)
 #: Sizes and places from here on are all stored as this one, and filters then let everything pass.
 BEYOND = 65535
@@ -242,7 +242,7 @@ def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: tuple[np.
                     cls.append(c := xxhash.xxh3_128_digest(raw[a:b]))
                     if (before := seen.get(c)) is None or own_place < before:
                         new[i] = True
-                        if len(seen) >= 150_000:
+                        if len(seen) >= 60_000:
                             seen.clear()
                         seen[c] = own_place
                 cls = np.frombuffer(b"".join(cls), "V16")
@@ -445,7 +445,7 @@ def dedup_lines(docs: DataFrame, share: int = 80) -> DataFrame:
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines that are not blank, n_removed, and the places of the removed lines.
+    """Per document: doc_id, n_lines that are not blank, n_removed, and the places of the removed lines, joined by commas.
 
     A null, empty or blank text has no lines; rows that repeat a doc_id and text each give the same row; an empty table gives none.
     """
@@ -454,4 +454,26 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = keys.join(removals(docs), ["did", "dk"], "left")
     doc_id = F.when(F.col("did") != NO_ID, F.col("did"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(doc_id.alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
+    return out.select(doc_id.alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
+
+
+#: The same rows by a join of prefixes and a count of what candidates share; for small tables whose doc_ids are distinct.
+OP8_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents),
+single AS (SELECT doc_id, unnest(range(len(held))) AS line, unnest(held) AS l FROM split),
+lines AS (
+  SELECT doc_id, line, doc_id::HUGEINT * 4294967296 + line AS place,
+    list_sort(list_distinct(list_filter(string_split_regex(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w
+  FROM single
+), classes AS (SELECT w, len(w) AS n, min(place) AS first, row_number() OVER () AS id FROM lines WHERE len(w) > 0 GROUP BY w),
+words AS (SELECT id, n, first, unnest(w) AS word FROM classes),
+often AS (SELECT word, count(*) AS f FROM words GROUP BY word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY f, word) AS r FROM words JOIN often USING (word)),
+prefix AS (SELECT * FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.id AS x, b.id AS y FROM prefix a JOIN prefix b ON a.word = b.word AND a.first > b.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (SELECT x, y, any_value(p.n + q.n) AS total, count(*) AS c FROM pairs JOIN words p ON p.id = x JOIN words q ON q.id = y AND q.word = p.word GROUP BY x, y),
+gone AS (SELECT DISTINCT x AS id FROM shared WHERE 100 * c >= 80 * (total - c)),
+marked AS (SELECT doc_id, line, place > first OR id IN (SELECT id FROM gone) AS out FROM lines JOIN classes USING (w))
+SELECT doc_id, count(line) AS n_lines, count(line) FILTER (WHERE out) AS n_removed, coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE out), '') AS removed
+FROM documents LEFT JOIN marked USING (doc_id) GROUP BY doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_topk": topk.op10_topk,
 }
-ORACLES: dict[str, str] = {"op6_near_dedup": near_dedup.OP6_SQL, "op10_topk": topk.OP10_SQL}
+ORACLES: dict[str, str] = {"op6_near_dedup": near_dedup.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op10_topk": topk.OP10_SQL}

@@ -470,6 +470,16 @@ def test_lcs(x, y):
     assert decontaminate.lcs([ord(c) for c in x], [ord(c) for c in y]) == t[-1][-1]
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, name):
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(registry.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(x) for x in registry.QUERIES[name](spark, DATA).select(columns).collect()) == sorted(want.fetchall())
+
+
 def auc(y, s):
     pos, neg = [b for a, b in zip(y, s) if a == 1], [b for a, b in zip(y, s) if a == 0]
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
