@@ -23,9 +23,9 @@ RANK, OVER = 128, 16
 #: A term is telling if at most this share of the items has it (or two do), or if its item has fewer than LEAST_TERMS others.
 TELLING, LEAST_TERMS = 0.05, 4
 #: All items together weigh so many times what the passages do.
-ITEM_WEIGHT = 16.0
+ITEM_WEIGHT = 64.0
 #: Least cosine of a window, in units of what the item's own text has in the latent space.
-COSINE = 0.4
+COSINE = 0.45
 #: Share of an item that settles the matter, and share that needs ANSWER of its ANSWER_TERMS rarest terms too.
 SETTLED, COVERED, ANSWER, ANSWER_TERMS = 0.8, 0.7, 0.4, 5
 #: Items of one pass over the documents, in bytes of their texts; more items take more passes.
@@ -40,23 +40,23 @@ def terms(text: str) -> list[bytes]:
     return [w for x in common.words_of(text) if (w := x.strip(_EDGES))]
 
 
-class Terms(dict):
-    """From a raw word to its term's number: in the vocabulary, -1 for another term, -2 for none.  Forgets at a bound."""
+class Terms:
+    """Numbers of terms, by their hashes."""
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: list[bytes]):
+        h = np.array([common.word_hashes(w)[0][0] for w in vocabulary], np.uint64)
+        self.order = np.argsort(h).astype(np.int32)
+        self.hashes = h[self.order]
 
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        w = raw.strip(_EDGES)
-        self[raw] = n = self.vocabulary.get(w, -1) if w else -2
-        return n
-
-    def numbers(self, text: str) -> np.ndarray:
-        raw = common.words_of(text)
-        out = np.fromiter(map(self.__getitem__, raw), np.int32, len(raw))
-        return out[out != -2]
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, the terms' numbers in order; -1 for terms that are not in the vocabulary."""
+        found = common.hashed_words([common.lowered(t) for t in texts], _EDGES)
+        if not found:
+            return []
+        h = np.concatenate(found)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        known = np.where(self.hashes[at] == h, self.order[at], np.int32(-1))
+        return np.split(known, np.cumsum([len(x) for x in found[:-1]]))
 
 
 def masks_of(pattern: list[int]) -> dict[int, int]:
@@ -79,7 +79,7 @@ def lcs(pattern: list[int], text: list[int], masks: dict[int, int] | None = None
     return len(pattern) - v.bit_count()
 
 
-def statistics(docs: DataFrame, vocabulary: dict[bytes, int], telling: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def statistics(docs: DataFrame, vocabulary: list[bytes], telling: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passages with each term and, last, all passages; T'(T G); G) over all passages of all documents, for the telling terms."""
     number = np.where(telling, np.cumsum(telling) - 1, -1)
     width, k = int(telling.sum()), columns
@@ -107,8 +107,8 @@ def statistics(docs: DataFrame, vocabulary: dict[bytes, int], telling: np.ndarra
         passages, found, size, before = [], [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 60):
-                for text in batch.slice(at, 60).column(0).to_pylist():
-                    t = number[known.numbers(text)]
+                for t in known.numbers(batch.slice(at, 60).column(0).to_pylist()):
+                    t = number[t]
                     hit = np.flatnonzero(t >= 0)
                     passages.append(hit // PASSAGE + before)
                     found.append(t[hit])
@@ -171,8 +171,9 @@ def _block_matches(docs: DataFrame, items: list[tuple[int | None, str]]) -> Data
     words = [(i, w) for i, w in words if w]
     if not words:
         return spark.createDataFrame([], "doc_id long, item_id long, covered double")
-    vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in words for x in ws}))}
-    numbers = [np.array([vocabulary[x] for x in ws]) for _, ws in words]
+    vocabulary = sorted({x for _, ws in words for x in ws})
+    place = {w: k for k, w in enumerate(vocabulary)}
+    numbers = [np.array([place[x] for x in ws]) for _, ws in words]
     distinct = [np.unique(x) for x in numbers]
     spread = np.bincount(np.concatenate(distinct), minlength=len(vocabulary))
     telling = spread <= max(2, TELLING * len(words))
@@ -203,47 +204,54 @@ def _block_matches(docs: DataFrame, items: list[tuple[int | None, str]]) -> Data
     numbers, ids = [numbers[i].tolist() for i in order], [words[i][0] for i in order]
     rare = np.append(np.where(telling, whole[:-1], -1.0), -2.0)
     answers = [set(sorted(set(x), key=lambda k: (-rare[k], k))[:ANSWER_TERMS]) for x in numbers]
-    projected = np.zeros((len(vocabulary) + 1, basis.shape[1]), np.float32)
-    projected[:-1][telling] = basis * idf[:, None]
+    number = np.append(np.where(telling, number, -1), -1)
+    projected = (basis * idf[:, None]).astype(np.float32)
     at_once = len(projected) * len(latent) <= TABLE
-    held = spark.sparkContext.broadcast((vocabulary, projected @ latent.T if at_once else projected, latent, (whole**2).astype(np.float32), numbers, answers, strides, ids))  # of a block of items
+    held = spark.sparkContext.broadcast((vocabulary, number, projected @ latent.T if at_once else projected, latent, (idf**2).astype(np.float32), numbers, answers, strides, ids))  # of a block of items
 
     def run(batches):
         import pyarrow as pa
 
-        vocabulary, table, latent, squares, numbers, answers, strides, ids = held.value
+        vocabulary, number, table, latent, squares, numbers, answers, strides, ids = held.value
         known, masks = Terms(vocabulary), [masks_of(x) for x in numbers]
         parts = [(b, np.flatnonzero(strides == b)) for b in range(1, MOST_STRIDES + 1) if (strides == b).any()]
 
         def candidates(t):
             """(item, first word of a window, its words) of high cosine."""
-            at = np.arange(0, len(t), STRIDE)
-            sums, norms = np.add.reduceat(table[t], at, axis=0), np.add.reduceat(squares[t], at)
+            told = number[t]
+            hit = np.flatnonzero(told >= 0)
+            if not len(hit):
+                return
+            told, nth = told[hit], hit // STRIDE
+            first = np.flatnonzero(np.concatenate([[True], nth[1:] != nth[:-1]]))
+            n = -(-len(t) // STRIDE)
+            sums, norms = np.zeros((n, table.shape[1]), np.float32), np.zeros(n, np.float32)
+            sums[nth[first]], norms[nth[first]] = np.add.reduceat(table[told], first, axis=0), np.add.reduceat(squares[told], first)
             over = lambda x, b: sum(x[i : i + max(1, len(x) - b + 1)] for i in range(min(b, len(x))))  # noqa: E731  sums of b neighbours
             for b, own in parts:
                 norm = np.sqrt(over(norms, b))
+                norm[norm == 0] = np.inf
                 for i in range(0, len(own), 1024):
                     some = own[i : i + 1024]
                     # the items stand in order of their strides
                     found = over(sums[:, some[0] : some[-1] + 1], b) if at_once else over(sums, b) @ latent[some].T
-                    for j, k in zip(*np.nonzero((found >= norm[:, None]) & (norm > 0)[:, None])):
-                        yield int(some[k]), int(j) * STRIDE, b * STRIDE
+                    for j, k in zip(*(x.tolist() for x in np.nonzero(found >= norm[:, None]))):
+                        yield int(some[k]), j * STRIDE, b * STRIDE
 
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = known.numbers(text)
-                if not len(t):
-                    continue
-                best: dict[int, float] = {}
-                for item, first, size in candidates(t):
-                    x = numbers[item]
-                    m = len(x)
-                    span = t[max(0, first - m) : first + size + m].tolist()
-                    share = lcs(x, span, masks[item]) / m
-                    if share >= SETTLED or share >= COVERED and len(answers[item].intersection(span)) >= ANSWER * len(answers[item]):
-                        best[item] = max(share, best.get(item, 0.0))
-                out += [(doc_id, ids[item], share) for item, share in best.items()]
+            for start in range(0, batch.num_rows, 60):
+                part = batch.slice(start, 60)
+                for doc_id, t in zip(part.column(0).to_pylist(), known.numbers(part.column(1).to_pylist())):
+                    best: dict[int, float] = {}
+                    for item, first, size in candidates(t) if len(t) else ():
+                        x = numbers[item]
+                        m = len(x)
+                        span = t[max(0, first - m) : first + size + m].tolist()
+                        share = lcs(x, span, masks[item]) / m
+                        if share >= SETTLED or share >= COVERED and len(answers[item].intersection(span)) >= ANSWER * len(answers[item]):
+                            best[item] = max(share, best.get(item, 0.0))
+                    out += [(doc_id, ids[item], share) for item, share in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["doc_id", "item_id", "covered"])
 
     return common.texts(docs).mapInArrow(common.tidied(run), "doc_id long, item_id long, covered double")
