@@ -44,7 +44,7 @@ class Terms:
     """Numbers of terms, by their hashes."""
 
     def __init__(self, vocabulary: list[bytes]):
-        h = np.array([common.word_hashes(w)[0][0] for w in vocabulary], np.uint64)
+        h = common.word_hashes(b"\n".join(vocabulary))[0]  # terms hold no white space
         self.order = np.argsort(h).astype(np.int32)
         self.hashes = h[self.order]
 
