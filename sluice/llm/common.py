@@ -39,17 +39,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 #: Rows of one Arrow batch: texts may be long, and both the JVM and the Python process hold a batch whole.
 BATCH_ROWS = 2000
+#: Bytes of one Arrow batch: packed rows are large, and a batch of all rows of a task would be held twice whole.
+BATCH_BYTES = 8 << 20
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of each row; a null text is an empty one.
 
-    Lowers Spark's default number of rows in an Arrow batch, which is read when a plan runs and so stays lowered in this session; another number that
-    the session has is kept.
+    Lowers Spark's default numbers of rows and bytes in an Arrow batch, which are read when a plan runs and so stay lowered in this session; other numbers that
+    the session has are kept.
     """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    conf, rows, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(rows) == "10000":
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size, None) is None:
+        conf.set(size, str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

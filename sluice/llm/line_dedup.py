@@ -146,13 +146,19 @@ def earliest(e: np.ndarray) -> np.ndarray:
     return e[np.concatenate([[True], (e["token"][1:] != e["token"][:-1]) | (e["half"][1:] != e["half"][:-1])])] if len(e) else e
 
 
-def nearest(found, e: np.ndarray, whole: bool):
-    """(later classes, earlier classes, those later ones that have more) of the candidates; of each class the nearest ones, or all."""
+def classes_of(found, e: np.ndarray):
+    """The candidates with their classes in place of their places in ``e``."""
+    half = e["half"].copy().view(np.int64)
+    for a, b, apart, well in found:
+        yield half[a], half[b], apart.astype(np.uint8), well  # a bitmap has 128 bits
+
+
+def nearest(found, whole: bool):
+    """(later classes, earlier classes, those later ones that have more) of candidates, given by classes; of each class the nearest ones, or all."""
     found = list(found)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, apart, well = (np.concatenate(x) for x in zip(*found))
-    a, b = e["half"][a].view(np.int64), e["half"][b].view(np.int64)
     order = np.lexsort((b, apart, ~well, a))
     a, b, well = a[order], b[order], well[order]
     fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) & (a != b)
@@ -164,12 +170,31 @@ def nearest(found, e: np.ndarray, whole: bool):
     return a[keep], b[keep], a[first][sizes > most]
 
 
+def met(parts: dict[int, list[np.ndarray]], share: int, only: np.ndarray | None = None):
+    """(later classes, earlier classes, tokens and classes of entries whose class has more) of entries by part; empties ``parts``.
+
+    All entries of a token are in one part, so the parts are sorted and compared one after another; the nearest are taken over all of them.
+    With ``only``, all pairs whose later class is one of these.
+    """
+    found, held = [], []
+    for part in sorted(parts):
+        e = earliest(np.concatenate(parts.pop(part)))
+        half = e["half"].copy().view(np.int64)
+        found += classes_of(candidates(e, share, open_=None if only is None else np.isin(half, only)), e)
+        held.append((e["token"].copy(), half))
+    a, b, more = nearest(found, only is not None)
+    keep = [np.isin(half, more) for _, half in held]
+    none = [np.zeros(0, np.int64)]
+    tokens = np.concatenate([*none, *[t[k].view(np.int64) for (t, _), k in zip(held, keep)]])
+    return a, b, tokens, np.concatenate([*none, *[h[k] for (_, h), k in zip(held, keep)]])
+
+
 def planes(x: np.ndarray) -> bytes:
     """The records' first bytes, then their second ones, and so on: most are zero or alike, which Spark's compression then finds."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def records(raw: bytes, kind: np.dtype) -> np.ndarray:
+def records(raw, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
@@ -273,25 +298,21 @@ def found_lines(docs: DataFrame, share: int, counts: np.ndarray, only: tuple[np.
         import pyarrow as pa
 
         counts, only = held.value
-        large, found = counts > together, []
+        large, parts = counts > together, {}
         for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                if len(x := records(raw, LINE)):
+            for part, lines, entries in zip(*batch.columns):  # one row at a time is copied out of the batch
+                if len(x := records(lines.as_buffer(), LINE)):
                     cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x["cls"].tobytes())]).cast(pa.binary())
                     yield _rows(0, len(x), did=x["did"], line=x["line"], n=x["n"], x=x["dk"], y=halves(x["cls"]), cls=cls)
-            for raw in batch.column(2).to_pylist():
-                e = records(raw, ENTRY)
+                e = records(entries.as_buffer(), ENTRY)
                 big = large[cell(e["token"])]
                 if big.any() and only is None:
                     x = e[big]
                     yield _rows(2, len(x), did=x["did"], line=x["line"], n=x["n"], pos=x["pos"], x=x["token"], y=x["half"], low=x["low"], high=x["high"])
-                found.append(e[~big])
-        e = earliest(np.concatenate(found)) if found else np.zeros(0, ENTRY)
-        sought = None if only is None else np.isin(e["half"].copy().view(np.int64), only[0])
-        a, b, more = nearest(candidates(e, share, open_=sought), e, only is not None)
+                parts.setdefault(part.as_py(), []).append(e[~big] if big.any() else e)
+        a, b, tokens, more = met(parts, share, None if only is None else only[0])
         yield _rows(1, len(a), x=a, y=b)
-        x = e[np.isin(e["half"].copy().view(np.int64), more)]
-        yield _rows(3, len(x), x=x["token"], y=x["half"])
+        yield _rows(3, len(more), x=tokens, y=more)
 
     packed = _keyed(docs).mapInArrow(common.tidied(pack), "part int, lines binary, entries binary")
     return packed.repartition(parts, "part").mapInArrow(common.tidied(compare), FOUND)
@@ -342,7 +363,7 @@ def compared(dealt: DataFrame, share: int) -> DataFrame:
             change = np.concatenate([[False], (np.diff(c["token"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)])
             same = c["i"] == c["j"]  # one block: every entry is a side of its own
             side = np.where(same, np.arange(len(e)), -1 - c["own"])
-            a, b, _ = nearest(candidates(e, share, np.cumsum(change), side, c["open"].astype(bool)), e, True)
+            a, b, _ = nearest(classes_of(candidates(e, share, np.cumsum(change), side, c["open"].astype(bool)), e), True)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held = None

@@ -162,6 +162,45 @@ def test_lines(spark, monkeypatch):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of packed arrays are large: two thousand of them are no batch, and no row is lost."""
+    docs = frame(spark, [(i, "ab " * 70_000) for i in range(200)]).coalesce(1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    out = common.texts(docs).mapInArrow(run, "n long, size long").collect()
+    assert sum(x.n for x in out) == 200 and max(x["size"] for x in out) <= 1.1 * common.BATCH_BYTES
+
+
+def test_entries_meet_part_by_part(monkeypatch):
+    """The same pairs as of all entries at once, in much less memory; the nearest are those of all parts."""
+    import tracemalloc
+
+    monkeypatch.setattr(line_dedup, "PAIRS", 1 << 14)
+    r = np.random.default_rng(5)
+    e = np.zeros(160_000, line_dedup.ENTRY)
+    e["token"], e["half"] = r.integers(0, 40_000, len(e), np.uint64), r.integers(0, 60_000, len(e), np.uint64)
+    e["low"], e["high"] = (np.uint64(1) << e["half"] % np.uint64(64)) - np.uint64(1), 0
+    e["did"], e["n"], e["pos"] = e["half"], 20, 0
+    split = lambda k: {i: [x] for i in range(k) if len(x := e[e["token"] % np.uint64(k) == i])}
+    got, peaks = [], []
+    for k in (1, 16):
+        parts = split(k)
+        tracemalloc.start()
+        a, b, tokens, more = line_dedup.met(parts, 80)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        got.append((set(zip(a.tolist(), b.tolist())), set(zip(tokens.tolist(), more.tolist()))))
+        assert not parts
+    assert got[0] == got[1] and len(got[0][0]) > 1000 and len(got[0][1]) > 0
+    assert peaks[1] < 0.6 * peaks[0], peaks
+    assert [len(x) for x in line_dedup.met({}, 80)] == [0] * 4
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 8), (100, 20), (1000, 100)])
 def test_bpe(spark, odd_rows, chunk, overlap):
     import tiktoken
